@@ -18,14 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a real cluster, once an application.
+    """Send this package to the Python workers, once an application.
 
-    In local mode the executors share the driver's interpreter path and nothing is sent.
+    In local mode nothing is sent where the workers' own path has the package already.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
-        return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    local = sc.master.startswith("local[") or sc.master == "local"
+    if sc.applicationId in _SHIPPED or local and root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
     stem = os.path.join(tempfile.mkdtemp(), "doclattice_pkg")
     sc.addPyFile(shutil.make_archive(stem, "zip", root, "doclattice"))
     _SHIPPED.add(sc.applicationId)
