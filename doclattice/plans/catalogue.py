@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from doclattice.plans import nested_queries, verify_queries
+from doclattice.plans import nested_queries, round_trips, verify_queries
 
-_MODULES = (nested_queries, verify_queries)
+_MODULES = (nested_queries, verify_queries, round_trips)
 
 
 def queries() -> dict:

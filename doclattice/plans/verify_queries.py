@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from doclattice.functions import markdown as md
 from doclattice.operators import assemble, verify
 from doclattice.session import table
+from doclattice.streaming import ingest
 
 CONVERTER = "doclattice/1.0"
 
@@ -361,8 +362,13 @@ def evidence_profile(spark, d):
     return e.groupBy("root_id", "found_in").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n"), F.max("n").alias("most"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+def status_windows(spark, d):
+    return ingest.status_windows(table(spark, d, "status_events"))
+
+
 def queries() -> dict:
     return {
+        "status_windows": status_windows,
         "verify_documents": verify_documents, "reconcile_evidence": reconcile_evidence, "status_lattice": status_lattice, "batch_summary": batch_summary,
         "reuse_cache": reuse_cache, "output_conflict": output_conflict, "stale_artifacts": stale_artifacts, "format_of": format_of, "detect_format": detect_format,
         "size_guard": size_guard, "zip_limits": zip_limits, "pdf_stats": pdf_stats, "unmapped_codes": unmapped_codes, "page_markdown": page_markdown,
@@ -384,6 +390,7 @@ def oracle_sql() -> dict[str, str]:
     lf = _LF.format("t")
     inline = r"replace(replace(t, '\', '\\'), '|', '\|')"
     return {
+        "status_windows": "SELECT time_bucket(INTERVAL 1 DAY, logged_at) AS day, status, count(*) AS n, max(severity) AS severity FROM (SELECT DISTINCT doc_id, status, logged_at, reason, place, any_value(severity) OVER (PARTITION BY doc_id, status, logged_at, reason, place) AS severity FROM status_events WHERE logged_at IS NOT NULL) GROUP BY 1, 2",
         "verify_documents": _VERIFY_DOCUMENTS, "reconcile_evidence": _RECONCILE, "status_lattice": _WORST, "batch_summary": _SUMMARY, "reuse_cache": _REUSE, "output_conflict": _CONFLICT,
         "stale_artifacts": _STALE, "format_of": _FORMAT, "detect_format": _DETECT,
         "size_guard": "SELECT root_id, count(DISTINCT doc_id) AS n_docs, max(byte_length) AS largest FROM source_files WHERE byte_length > 5000000 GROUP BY 1",
