@@ -43,10 +43,12 @@ COVER, HALF = 0.85, 0.5
 #: Letters of a passage beyond which it is searched in overlapping windows as well.
 LONG, WINDOW = 170, 60
 
+# Syllables that close a Korean verb before 다: with a final ㅆ or ㄴ.
+_PAST, _PRESENT = ("".join(chr(c) for c in range(0xAC00, 0xD7A4) if (c - 0xAC00) % 28 == k) for k in (20, 4))
 # A passage ends after a full stop, at a blank line, before a list sign or table bar, and after a Korean verb's final ending.
 _SPLIT = re.compile(
-    r"(?<=[.!?。．！？])[\s\"'”’)\]*_]+|\n\s*\n|\n(?=[ \t]*(?:[#|>*○•·-]|[0-9]+[.)]))"
-    r"|(?<=니다|세요|어요|아요|에요|예요|았다|었다|였다|했다|한다|된다|있다|없다|이다|하다|겠다)[ \n]"
+    r"(?<=[.!?。．！？])[\s\"'”’)\]*_]+|\n\s*\n|\n(?=[ \t]*(?:[#|>○•·]|[*-][ \t]|[0-9]+[.)][ \t]))"
+    rf"|(?<=[{_PAST}{_PRESENT}니이하]다|[세어아에예해네지]요)[ \n]+"
 )
 _BREAK = re.compile(r"<br ?/?>", re.I)
 _NOT_LETTERS = re.compile(r"[\W_]+")
