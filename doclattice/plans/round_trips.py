@@ -101,11 +101,11 @@ SELECT doc_id, count(*) AS n_texts, count(DISTINCT x) AS n_kinds FROM k GROUP BY
 
 def queries() -> dict:
     out = {f"rt_{fmt}": _back(fmt) for fmt in ("docx", "pptx", "hwpx", "hwp", "pdf")}
-    out |= {f"verified_{fmt}": _verified(fmt) for fmt in ("docx", "pptx", "hwpx", "hwp", "pdf")}
+    out |= {f"verified_{fmt}": _verified(fmt) for fmt in ("docx", "pptx", "hwpx", "hwp", "pdf", "xlsx")}
     return out | {"rt_xlsx": cells_back, "rt_xls": strings_back}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {f"rt_{fmt}": _BACK for fmt in ("docx", "pptx", "hwpx", "hwp", "pdf")}
-    out |= {f"verified_{fmt}": _verified_sql("unverified" if fmt == "pdf" else "success") for fmt in ("docx", "pptx", "hwpx", "hwp", "pdf")}
+    out |= {f"verified_{fmt}": _verified_sql("unverified" if fmt == "pdf" else "success") for fmt in ("docx", "pptx", "hwpx", "hwp", "pdf", "xlsx")}
     return out | {"rt_xlsx": _CELLS, "rt_xls": _STRINGS}

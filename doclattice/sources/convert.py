@@ -158,6 +158,31 @@ EVIDENCE_PARTS = r"^word/(?!settings|styles|numbering|fontTable|webSettings|them
 _NODE = r"(?s)<(?:[A-Za-z0-9]+:)?(t|delText|instrText|script)(?:\s[^>]*[^/>])?>(.*?)</(?:[A-Za-z0-9]+:)?\1>"
 
 
+def cells(files: DataFrame) -> DataFrame:
+    """(path, part, ref, kind, text, formula): stored cells of spreadsheets by patterns over the raw sheet XML, in the JVM.
+
+    Shared strings join by position; so this route shares no parsing with the reader.
+    """
+    xml = parts(files, r"^xl/(?:worksheets/[^/]+|sharedStrings)\.xml$")
+    one = r"(?s)<c\s[^>]*?(?:/>|>.*?</c>)"
+    each = xml.where(F.col("part") != "xl/sharedStrings.xml").select("path", "part", F.explode(F.regexp_extract_all("xml", F.lit(one), F.lit(0))).alias("c"))
+    got = lambda p: F.regexp_extract("c", p, 1)
+    value = F.when(F.col("c").rlike(r"<v[ >]"), md.xml_unescape(got(r"(?s)<v(?:\s[^>]*)?>(.*?)</v>")))
+    formula = F.when(F.col("c").rlike("<f[ >]"), md.xml_unescape(got(r"(?s)<f(?:\s[^>]*)?>(.*?)</f>")))
+    raw = each.select("path", "part", got(r'\sr="([A-Z]+[0-9]+)"').alias("ref"), got(r'\st="(\w+)"').alias("kind"), value.alias("v"), formula.alias("formula"), md.xml_unescape(F.array_join(F.regexp_extract_all("c", F.lit(r"(?s)<t(?:\s[^>]*)?>(.*?)</t>"), F.lit(1)), "")).alias("own"))
+    item = xml.where(F.col("part") == "xl/sharedStrings.xml").select("path", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<si(?:\s[^>]*)?>(.*?)</si>"), F.lit(1))).alias("k", "si"))
+    plain = F.regexp_replace("si", r"(?s)<rPh\b.*?</rPh>", "")
+    item = item.select("path", F.col("k").alias("at"), md.xml_unescape(F.array_join(F.regexp_extract_all(plain, F.lit(r"(?s)<t(?:\s[^>]*)?>(.*?)</t>"), F.lit(1)), "")).alias("shared"))
+    raw = raw.withColumn("at", F.when(F.col("kind") == "s", F.expr("try_cast(v AS int)")))
+    number = F.expr("try_cast(v AS double)")
+    whole = number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 1e15)
+    text = (
+        F.when(F.col("kind") == "s", F.col("shared")).when(F.col("kind") == "inlineStr", F.col("own")).when(F.col("kind") == "b", F.when(F.col("v") == "1", "TRUE").otherwise("FALSE"))
+        .when(F.col("kind").isin("e", "str", "d"), F.col("v")).when(whole, md.number_text(number)).otherwise(F.col("v"))
+    )
+    return raw.join(item, ["path", "at"], "left").select("path", "part", "ref", "kind", text.alias("text"), "formula")
+
+
 def evidence(files: DataFrame) -> DataFrame:
     """(path, text, n): the counted inventory of texts by path B."""
     xml = parts(files, EVIDENCE_PARTS).where(~F.col("part").startswith("Preview/"))
@@ -171,7 +196,8 @@ def evidence(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "text"])
 
     flat = files.where(extension(F.col("path")).isin("hwp", "xls", *TEXT)).select("path", "content").mapInArrow(run, "path string, text string")
-    every = piece.unionByName(flat).where(md.strip(F.col("text")) != "")
+    stored = cells(files).select("path", F.explode(F.array("text", "formula")).alias("text"))
+    every = piece.unionByName(flat).unionByName(stored).where(F.col("text").isNotNull()).where(md.strip(F.col("text")) != "")
     return every.groupBy("path", "text").agg(F.count("*").alias("n"))
 
 
