@@ -37,7 +37,7 @@ BLOCK_ITEMS = 2_000
 #: Cosine from which a passage may hold a sentence, and the share of an item's sentences that makes a candidate.
 NEAR, NEAR_WINDOW, SHARE = 0.93, 0.8, 0.34
 #: Exact TF-IDF cosine that a candidate needs, for passages and for windows of long ones.
-CLOSE, CLOSE_WINDOW = 0.66, 0.45
+CLOSE, CLOSE_WINDOW = 0.66, 0.5
 #: Share of a sentence that a common subsequence must cover; half the sentences make a case.
 COVER, HALF = 0.85, 0.5
 #: Letters of a passage beyond which it is searched in overlapping windows as well.
@@ -51,21 +51,16 @@ _SPLIT = re.compile(
     rf"|(?<=[{_PAST}{_PRESENT}니이하]다|[세어아에예해네지]요)[ \n]+"
 )
 _BREAK = re.compile(r"<br ?/?>", re.I)
-_NOT_LETTERS = re.compile(r"[\W_]+")
+_NOT_LETTERS = re.compile(r"[^\w\0]+|_+")
 
 
-def letters(text: str) -> str:
-    """Letters and digits of a text in one consistent form."""
+def passages(text: str) -> list[str]:
+    """The letters and digits of each passage of a text, in one consistent form and in order."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", form(text))
-    return _NOT_LETTERS.sub("", text.casefold())
-
-
-def passages(text: str) -> list[str]:
-    """The letters of each passage of a text, in order."""
     if "<" in text:
         text = _BREAK.sub("\n\n", text)
-    return [x for p in _SPLIT.split(text) if (x := letters(p))]
+    return [x for x in _NOT_LETTERS.sub("", _SPLIT.sub("\0", text.casefold())).split("\0") if x]
 
 
 def _cells(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +126,48 @@ class Search:
         self.first = np.cumsum([0, *self.sizes])[:-1]
         self.item_of = np.repeat(np.arange(len(items)), self.sizes)
         self.least = 0.7 * min(map(len, self.sentences))
-        self.vectors = latent(self.sentences, self.scaled).T.copy()
+        vectors = latent(self.sentences, self.scaled)
+        self.groups = self._grouped(vectors)
+        self.centres = np.array([c for c, _, _, _ in self.groups], np.float32).T.copy()
+        self.radii = np.array([r for _, r, _, _ in self.groups], np.float32)
         self.exact = weighted(self.sentences, idf)
 
+    @staticmethod
+    def _grouped(vectors: np.ndarray, n: int = 48, rounds: int = 8) -> list[tuple[np.ndarray, float, np.ndarray, np.ndarray]]:
+        """Sentences grouped by direction: (centre, widest angle to it, members, their vectors).
+
+        A passage within an angle of a member is within that angle and the group's of its centre, so
+        that groups farther off are left out without losing a candidate.
+        """
+        rng = np.random.default_rng(5)
+        centres = vectors[rng.permutation(len(vectors))[:n]]
+        for _ in range(rounds):
+            own = (vectors @ centres.T).argmax(axis=1)
+            centres = np.array([vectors[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))], np.float32)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        own = (vectors @ centres.T).argmax(axis=1)
+        out = []
+        for k in np.unique(own):
+            members = np.flatnonzero(own == k)
+            angle = float(np.arccos(np.clip(vectors[members] @ centres[k], -1, 1)).max())
+            out.append((centres[k], angle, members, vectors[members].T.copy()))
+        return out
+
+    def _candidates(self, v: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, sentence) of every pair whose cosine reaches the passage's floor."""
+        to = np.arccos(np.clip(v @ self.centres, -1, 1))
+        near = to <= np.arccos(floor)[:, None] + self.radii + 1e-3
+        rows, cols = [], []
+        for k, (_, _, members, vectors) in enumerate(self.groups):
+            own = np.flatnonzero(near[:, k])
+            if len(own):
+                r, c = np.nonzero(v[own] @ vectors >= floor[own, None])
+                rows.append(own[r])
+                cols.append(members[c])
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(rows), np.concatenate(cols)
+
     def match(self, texts: list[str], docs_at_once: int = 48) -> Iterator[tuple[int, int]]:
         """(text's position, item id) of every case."""
         for lo in range(0, len(texts), docs_at_once):
@@ -156,18 +190,20 @@ class Search:
         A document whose passages lie in two blocks is judged by each; cases are made distinct later.
         """
         floor = np.where(at >= 0, np.float32(NEAR_WINDOW), np.float32(NEAR))
-        rows, cols = np.nonzero(latent(parts, self.scaled) @ self.vectors >= floor[:, None])
+        rows, cols = self._candidates(latent(parts, self.scaled), floor)
         if not len(rows):
             return []
-        used, back = np.unique(rows, return_inverse=True)
-        tf = weighted([parts[r] for r in used], self.idf)
-        cos = np.concatenate([np.einsum("ij,ij->i", tf[back[k : k + 1024]], self.exact[cols[k : k + 1024]]) for k in range(0, len(rows), 1024)])
+        keep = self._voted(doc, rows, cols)
+        rows, cols = rows[keep], cols[keep]
+        if not len(rows):
+            return []
+        cos = self._exact(parts, rows, cols)
         close = cos >= np.where(at[rows] >= 0, CLOSE_WINDOW, CLOSE)
         rows, cols, cos = rows[close], cols[close], cos[close]
+        out = []
         n = len(self.sentences)
         pair = np.unique(doc[rows] * n + cols)
         cases, votes = np.unique(pair // n * len(self.items) + self.item_of[pair % n], return_counts=True)
-        out = []
         for case, vote in zip(cases, votes, strict=True):
             d, item = divmod(int(case), len(self.items))
             if vote < SHARE * self.sizes[item]:
@@ -180,6 +216,30 @@ class Search:
                 out.append((d, item))
         return out
 
+    def _voted(self, doc: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Pairs of those documents and items that share enough candidate sentences."""
+        n = len(self.sentences)
+        pair = np.unique(doc[rows] * n + cols)
+        votes = np.zeros((int(doc.max()) + 1, len(self.items)), np.int32)
+        np.add.at(votes, (pair // n, self.item_of[pair % n]), 1)
+        return (votes >= SHARE * self.sizes)[doc[rows], self.item_of[cols]]
+
+    def _exact(self, parts: list[str], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """TF-IDF cosine of each pair in the full space, passage by passage over its own trigrams."""
+        used, back = np.unique(rows, return_inverse=True)
+        own, feature = _cells([parts[r] for r in used])
+        weight = self.idf[feature]
+        bounds = np.searchsorted(own, np.arange(len(used) + 1))
+        order = np.argsort(back, kind="stable")
+        ends = np.searchsorted(back[order], np.arange(len(used) + 1))
+        out = np.zeros(len(rows), np.float32)
+        for k in range(len(used)):
+            f, where = np.unique(feature[bounds[k] : bounds[k + 1]], return_inverse=True)
+            w = np.bincount(where, weight[bounds[k] : bounds[k + 1]])
+            pairs = order[ends[k] : ends[k + 1]]
+            out[pairs] = self.exact[np.ix_(cols[pairs], f)] @ w / max(float(np.linalg.norm(w)), 1e-9)
+        return out
+
     def _holds(self, own: list[str], near: dict[int, list[tuple[float, int, int]]], item: int) -> bool:
         """Whether at least half of the item's sentences stand in the document."""
         sentences = self.items[item][1]
@@ -187,7 +247,7 @@ class Search:
         for j, s in enumerate(sentences):
             if got >= need or got + len(sentences) - j < need:
                 break
-            got += s in whole or any(lcs(s, self._around(own, k, start, len(s))) >= COVER * len(s) for _, k, start in sorted(near.get(self.first[item] + j, ()))[:3])
+            got += s in whole or any(len(p) >= COVER * len(s) <= lcs(s, p) for _, k, start in sorted(near.get(self.first[item] + j, ()))[:3] for p in [self._around(own, k, start, len(s))])
         return got >= need
 
     @staticmethod
@@ -211,7 +271,8 @@ def frequencies(documents: DataFrame) -> tuple[np.ndarray, int, int]:
                 parts = [p for t in texts[lo : lo + 256] for p in passages(t)]
                 n += len(parts)
                 own, feature = _cells(parts)
-                total += np.bincount(np.unique(own * FEATURES + feature) % FEATURES, minlength=FEATURES)
+                cells = np.sort((own * FEATURES + feature).astype(np.int32))
+                total += np.bincount(cells[np.diff(cells, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
         hit = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array([*hit, -1, -2], pa.int32()), pa.array([*total[hit], n, docs], pa.int64())], names=["feature", "n"])
 
