@@ -38,6 +38,8 @@ BLOCK_ITEMS = 2_000
 NEAR, NEAR_WINDOW, SHARE = 0.93, 0.8, 0.34
 #: Exact TF-IDF cosine that a candidate needs, for passages and for windows of long ones.
 CLOSE, CLOSE_WINDOW = 0.66, 0.5
+#: Exact cosine from which a passage is the sentence, without aligning them.
+SAME = 0.93
 #: Share of a sentence that a common subsequence must cover; half the sentences make a case.
 COVER, HALF = 0.85, 0.5
 #: Letters of a passage beyond which it is searched in overlapping windows as well.
@@ -226,18 +228,19 @@ class Search:
 
     def _exact(self, parts: list[str], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         """TF-IDF cosine of each pair in the full space, passage by passage over its own trigrams."""
-        used, back = np.unique(rows, return_inverse=True)
+        order = np.argsort(rows, kind="stable")
+        rows_in = rows[order]
+        ends = np.flatnonzero(np.diff(rows_in, prepend=-1, append=-1))
+        used = rows_in[ends[:-1]]
         own, feature = _cells([parts[r] for r in used])
-        weight = self.idf[feature]
-        bounds = np.searchsorted(own, np.arange(len(used) + 1))
-        order = np.argsort(back, kind="stable")
-        ends = np.searchsorted(back[order], np.arange(len(used) + 1))
+        cell, tf = np.unique(own * FEATURES + feature, return_counts=True)
+        weight = (tf * self.idf[cell % FEATURES]).astype(np.float32)
+        bounds = np.searchsorted(cell, np.arange(len(used) + 1) * FEATURES)
         out = np.zeros(len(rows), np.float32)
         for k in range(len(used)):
-            f, where = np.unique(feature[bounds[k] : bounds[k + 1]], return_inverse=True)
-            w = np.bincount(where, weight[bounds[k] : bounds[k + 1]])
-            pairs = order[ends[k] : ends[k + 1]]
-            out[pairs] = self.exact[np.ix_(cols[pairs], f)] @ w / max(float(np.linalg.norm(w)), 1e-9)
+            a, z = bounds[k], bounds[k + 1]
+            w, pairs = weight[a:z], order[ends[k] : ends[k + 1]]
+            out[pairs] = self.exact[cols[pairs, None], cell[None, a:z] - k * FEATURES] @ w / max(float(np.sqrt(w @ w)), 1e-9)
         return out
 
     def _holds(self, own: list[str], near: dict[int, list[tuple[float, int, int]]], item: int) -> bool:
@@ -247,7 +250,7 @@ class Search:
         for j, s in enumerate(sentences):
             if got >= need or got + len(sentences) - j < need:
                 break
-            got += s in whole or any(len(p) >= COVER * len(s) <= lcs(s, p) for _, k, start in sorted(near.get(self.first[item] + j, ()))[:3] for p in [self._around(own, k, start, len(s))])
+            got += s in whole or any(x <= -SAME or len(p) >= COVER * len(s) <= lcs(s, p) for x, k, start in sorted(near.get(self.first[item] + j, ()))[:3] for p in [self._around(own, k, start, len(s))])
         return got >= need
 
     @staticmethod
