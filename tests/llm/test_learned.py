@@ -89,6 +89,14 @@ def test_scan_noise(spark):
     assert scan_noise.found(df.limit(0)).count() == 0
 
 
+def test_frequent_misreadings_are_looked_at():
+    """A misreading grows with the table as its link does; only their ratio counts."""
+    for scale in (1, 10, 1000):
+        known = {"것으로": 4_090 * scale, "것으료": 37 * scale, "한다": 9_000 * scale, "할다": 8_000 * scale}
+        r = scan_noise.Reader(known, {}, np.zeros((0, 32), np.float32), np.zeros((0, 32), np.float32))
+        assert list(r.corrections(["한다", "것으료", "할다"])) == [(1, "것으로")], scale
+
+
 def test_glyph_edits():
     known = {"inspection": 100, "기반을": 50, "moved": 40, "로비의": 30}
     for bad, true in (("inspecfion", "inspection"), ("1nspecti0n", None), ("7l반을", "기반을"), ("rnoved", "moved"), ("로비외", "로비의"), ("R2-O2", None)):
