@@ -97,6 +97,27 @@ def test_frequent_misreadings_are_looked_at():
         assert list(r.corrections(["한다", "것으료", "할다"])) == [(1, "것으로")], scale
 
 
+def test_every_word_counts(spark, monkeypatch):
+    """Rare words count as often as they occur, whatever the size of the vocabulary; linked words have vectors."""
+    monkeypatch.setattr(scan_noise, "VECTORS", 4)
+    line = "우리 모두 함께 여기 저기 그렇게 다시 말한다 오늘"
+    rows = [(k, "\n".join([line] * 10 + ["어제 담당자는 왔다"] * 2), 0) for k in range(10)]
+    rows += [(50, "그때 로비외 갔다\n" + "\n".join(["그때 로비의 갔다"] * 10), 0), (51, "이제 담당지는 왔다", 0), (52, "the well-known case\nit is well-\nknown here.", 0), (53, "the note is unwell-\nknowing here.", 0)]
+    df = spark.createDataFrame(rows, "res_id bigint, markdown string, flaw int")
+    reader = scan_noise.learn(df)
+    assert reader.known.get("담당자는") == 20 and reader.known.get("로비외") == 1 and reader.known.get("우리") == 0 and reader.known.get("없다") is None
+    assert reader.linked == {"담당지는": ("담당자는",)}  # 로비의 is 10 times as frequent as 로비외, not 15
+    assert len(reader.around) == 4 and "담당자는" in reader.index and reader.centre.shape[0] == len(reader.index)
+    assert reader._cut("unwell", "knowing") and not reader._cut("well", "known")
+
+
+def test_keys_are_kept_by_edits():
+    chars = [*"".join(scan_noise.LATIN_GLYPHS), *"".join(scan_noise.HANGUL_GLYPHS), *"abcdefghijklmnopqrstuvwxyz", *"파머퍈대"]
+    for _ in range(5_000):
+        word = "".join(RNG.choice(chars) if RNG.random() < 0.6 else chr(RNG.randrange(0xAC00, 0xD7A4)) for _ in range(RNG.randint(2, 6)))
+        assert all(scan_noise.key(word[:a] + true + word[b:]) == scan_noise.key(word) for a, b, true in scan_noise._edits(word)), word
+
+
 def test_glyph_edits():
     known = {"inspection": 100, "기반을": 50, "moved": 40, "로비의": 30}
     for bad, true in (("inspecfion", "inspection"), ("1nspecti0n", None), ("7l반을", "기반을"), ("rnoved", "moved"), ("로비외", "로비의"), ("R2-O2", None)):
