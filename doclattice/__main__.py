@@ -33,9 +33,10 @@ def main(argv: list[str] | None = None) -> int:
     limits = Limits(cells=a.max_cells)
     if a.reuse:
         ingest.ingest(spark, a.input, a.out, limits).awaitTermination()
-        results = spark.read.parquet(f"{a.out}/results")
+        results = ingest.outcome(spark, a.out)
     else:
-        results = cut(convert.convert(convert.read(spark, a.input, a.recursive, limits), limits, a.encoding))
+        converted = convert.convert(convert.read(spark, a.input, a.recursive, limits), limits, a.encoding)
+        results = cut(converted.unionByName(convert.refused(spark, a.input, a.recursive, limits)))
         convert.write(results, f"{a.out}/table")
     if a.split_chars:
         from pyspark.sql import functions as F

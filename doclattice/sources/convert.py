@@ -41,12 +41,28 @@ SUPPORTED = TEXT | DELIMITED | IMAGES | frozenset(LEGACY) | frozenset(PACKAGES)
 
 
 def read(spark: SparkSession, path: str, recursive: bool = True, limits: Limits = Limits()) -> DataFrame:
-    """(path, length, content) of the supported files below a folder; sizes are filtered before contents are read."""
+    """(path, length, content) of the supported files below a folder; sizes are filtered before contents are read.
+
+    ``refused`` has the rows of all other files.
+    """
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return files.where(extension(F.col("path")).isin(*SUPPORTED) & (F.col("length") <= limits.file_bytes)).select("path", "length", "content")
 
 
+def refused(spark: SparkSession, path: str, recursive: bool = True, limits: Limits = Limits()) -> DataFrame:
+    """Rows as those of ``convert`` for the files that ``read`` leaves out: unsupported ones and oversized ones, contents unread."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length")
+    fmt, size = extension(F.col("path")), F.col("length")
+    known, fits = fmt.isin(*SUPPORTED), size <= limits.file_bytes
+    reason = F.when(~known, F.concat(F.lit("지원하지 않는 형식: "), fmt)).otherwise(F.concat(size.cast("string"), F.lit(f" bytes; {limits.file_bytes} are allowed")))
+    head = md.header_block(F.element_at(F.split("path", "/"), -1), fmt, CONVERTER)
+    none = F.lit(0).cast("bigint")
+    return files.where(~(known & fits)).select(
+        "path", fmt.alias("fmt"), F.when(known, "failed").otherwise("unsupported").alias("status"), head.alias("markdown"), F.array(reason).alias("warnings"), none.alias("lost"), none.alias("kinds"), none.alias("n_assets"),
+    )
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 

@@ -38,12 +38,26 @@ def write_batch(files: DataFrame, batch: int, out: str, limits: Limits = Limits(
 
 
 def ingest(spark: SparkSession, folder: str, out: str, limits: Limits = Limits()):
-    """Starts the stream over a folder; it ends when all files present are done."""
+    """Starts the stream over a folder; it ends when all files present are done.
+
+    Files that can't be converted by suffix or size get their rows in ``refused``, as the folder now is.
+    """
+    convert.refused(spark, folder, True, limits).write.mode("overwrite").parquet(f"{out}/refused")
     stream = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true").load(folder)
     own = stream.where(convert.extension(F.col("path")).isin(*convert.SUPPORTED) & (F.col("length") <= limits.file_bytes)).select("path", "content")
     return own.writeStream.foreachBatch(lambda df, k: write_batch(df, k, out, limits)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
 
 
+def outcome(spark: SparkSession, out: str) -> DataFrame:
+    """One row per file: the results, and the files that were refused, whose former results don't count."""
+    refused = spark.read.parquet(f"{out}/refused")
+    try:
+        results = spark.read.parquet(f"{out}/results")
+    except AnalysisException:  # no file was convertible
+        return refused
+    return results.select(refused.columns).join(refused, "path", "left_anti").unionByName(refused)
+
+
 def status_windows(events: DataFrame, watermark: str = "30 days", width: str = "1 day") -> DataFrame:
     """State changes per day and status; for a stream, late rows count until the watermark has passed.
 

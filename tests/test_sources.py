@@ -141,3 +141,26 @@ def test_stream_equals_batch(spark, tmp_path):
     (folder / "d.txt").write_bytes("새 글".encode())
     ingest.ingest(spark, str(folder), out).awaitTermination()
     assert spark.read.parquet(out + "/results").count() == 3
+
+
+def test_refused_files_have_rows(spark, tmp_path):
+    from doclattice.__main__ import main
+    from doclattice.streaming import ingest
+
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.txt").write_bytes("가나다".encode())
+    (folder / "b.txt").write_bytes("가나다".encode() * 100)
+    (folder / "c.unknown").write_bytes(b"x")
+    limits = Limits(file_bytes=100)
+    told = lambda df: {r.path.rpartition("/")[2]: r.status for r in df.collect()}
+    assert told(convert.refused(spark, str(folder), True, limits)) == {"b.txt": "failed", "c.unknown": "unsupported"}
+    ingest.ingest(spark, str(folder), out, limits).awaitTermination()
+    assert told(ingest.outcome(spark, out)) == {"a.txt": "success", "b.txt": "failed", "c.unknown": "unsupported"}
+    for k, more in enumerate(([], ["--reuse"])):
+        assert main([str(folder), "--out", str(tmp_path / f"cli{k}"), *more]) == 1
+    assert {x.name for x in (tmp_path / "cli0" / "_incomplete").iterdir()} == {"c.unknown.md"}
+    only = tmp_path / "only"
+    only.mkdir()
+    (only / "c.unknown").write_bytes(b"x")
+    assert main([str(only), "--out", str(tmp_path / "cli2"), "--reuse"]) == 1
