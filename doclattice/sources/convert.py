@@ -132,7 +132,7 @@ def block() -> Column:
 
 
 def _texts_of(name: str, content: bytes) -> list[str]:
-    """Path B of binary formats and delimited text."""
+    """Path B of binary formats and plain text."""
     ext = os.path.splitext(name)[1].lower().lstrip(".")
     try:
         if ext == "hwp":
@@ -199,7 +199,37 @@ def cells(files: DataFrame) -> DataFrame:
     return raw.join(item, ["path", "at"], "left").select("path", "part", "ref", "kind", text.alias("text"), "formula")
 
 
-def evidence(files: DataFrame) -> DataFrame:
+def delimited(files: DataFrame, encoding: str | None = None) -> DataFrame:
+    """(path, text) of every filled cell and row number of delimited files, as a table shows them.
+
+    A second tokeniser: patterns in the JVM over the decoded text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    text = plain.decode(content or b"", encoding)[0]
+                except Unreadable:  # has its event already
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.string())], names=["path", "text"])
+
+    some = files.where(extension(F.col("path")).isin(*DELIMITED)).select("path", "content").mapInArrow(run, "path string, text string").where("text <> ''")
+    whole = F.concat(F.lit("\n"), F.regexp_replace("text", r"(?:\r\n|\r|\n)\z", ""))
+    tokens = lambda sep: F.regexp_extract_all(whole, F.lit(rf'(?s)(?:\r\n|[\r\n{sep}])(?:"[^"]*+(?:""[^"]*+)*+(?:"|\z))?+[^\r\n{sep}]*+'), F.lit(0))
+    token = some.select("path", F.when(extension(F.col("path")) == "tsv", tokens(r"\t")).otherwise(tokens(",")).alias("tokens"))
+    rows = F.size(F.filter("tokens", lambda t: t.rlike(r"^[\r\n]")))
+    bare = F.regexp_replace("t", r"^(?:\r\n|.|[\r\n])", "")
+    quoted = F.replace(F.regexp_replace(bare, r'(?s)^"([^"]*+(?:""[^"]*+)*+)(?:"|\z)', "$1"), F.lit('""'), F.lit('"'))
+    cell = F.when(bare.startswith('"'), quoted).otherwise(bare)
+    for seen, shown in (("\\", "\\\\"), ("|", "\\|"), ("\r\n", "\n"), ("\n", "<br>")):
+        cell = F.replace(cell, F.lit(seen), F.lit(shown))
+    filled = token.select("path", F.explode("tokens").alias("t")).select("path", cell.alias("text")).where(md.strip(F.col("text")) != "")
+    numbers = token.select("path", F.explode(F.sequence(F.lit(1), rows).cast("array<string>")).alias("text"))
+    return filled.unionByName(numbers).select("path", F.concat(F.lit(" "), F.col("text"), F.lit(" |")).alias("text"))
+
+
+def evidence(files: DataFrame, encoding: str | None = None) -> DataFrame:
     """(path, text, n): the counted inventory of texts by path B."""
     xml = parts(files, EVIDENCE_PARTS).where(~F.col("part").startswith("Preview/"))
     node = xml.select("path", F.explode(F.regexp_extract_all("xml", F.lit(_NODE), F.lit(2))).alias("raw"))
@@ -213,7 +243,7 @@ def evidence(files: DataFrame) -> DataFrame:
 
     flat = files.where(extension(F.col("path")).isin("hwp", "xls", *TEXT)).select("path", "content").mapInArrow(run, "path string, text string")
     stored = cells(files).select("path", F.explode(F.array("text", "formula")).alias("text"))
-    every = piece.unionByName(flat).unionByName(stored).where(F.col("text").isNotNull()).where(md.strip(F.col("text")) != "")
+    every = piece.unionByName(flat).unionByName(stored).unionByName(delimited(files, encoding)).where(F.col("text").isNotNull()).where(md.strip(F.col("text")) != "")
     return every.groupBy("path", "text").agg(F.count("*").alias("n"))
 
 
@@ -227,12 +257,17 @@ def convert(files: DataFrame, limits: Limits = Limits(), encoding: str | None =
         assemble.joined("block", "ord").alias("body"), F.count_if(F.col("kind") == "asset").alias("n_assets"),
         F.array_sort(F.collect_list(F.when(F.col("kind").isin("event", "warning"), F.col("text")))).alias("warnings"),
     )
+    empty = F.array().cast("array<string>")  # a file without elements has its row as well
+    body = files.select("path").distinct().join(body, "path", "left").select("path", F.coalesce("body", F.lit("")).alias("body"), F.coalesce("n_assets", F.lit(0)).cast("bigint").alias("n_assets"), F.coalesce("warnings", empty).alias("warnings"))
     head = md.header_block(F.element_at(F.split("path", "/"), -1), extension(F.col("path")), CONVERTER)
     out = body.withColumn("markdown", F.concat(head, F.lit("\n\n"), F.col("body")))
     out = out.withColumn("markdown", F.when(extension(F.col("path")) == "md", F.col("body")).otherwise(F.col("markdown")))
-    lost = verify.report(verify.shortfall(evidence(files), out.select("path", "markdown"), "path", "text"), "path", "text").drop("samples")
+    wanted = cut(evidence(files, encoding))
+    lost = verify.report(verify.shortfall(wanted, out.select("path", "markdown"), "path", "text"), "path", "text").drop("samples")
     events = e.where("kind = 'event'").select("path", F.col("attrs")["status"].alias("status"))
     events = events.unionByName(lost.select("path", F.lit("partial").alias("status")))
+    proven = wanted.select("path").distinct()
+    events = events.unionByName(out.select("path").join(proven, "path", "left_anti").select("path", F.lit("unverified").alias("status")))
     status = verify.worst(events, "path").select("path", "status")
     return out.join(status, "path", "left").join(lost, "path", "left").select(
         "path", extension(F.col("path")).alias("fmt"), F.coalesce("status", F.lit("success")).alias("status"), "markdown", "warnings",

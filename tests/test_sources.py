@@ -164,3 +164,16 @@ def test_refused_files_have_rows(spark, tmp_path):
     only.mkdir()
     (only / "c.unknown").write_bytes(b"x")
     assert main([str(only), "--out", str(tmp_path / "cli2"), "--reuse"]) == 1
+
+
+def test_cells_of_delimited_files_are_counted(spark):
+    data = {"/a.csv": b'a,"b, ""c""\r\nd",1\r\n\r\n1,x|y\\z\r\n', "/b.tsv": "가\t나\n나\t1".encode("cp949"), "/c.csv": b"1,1\n1,1", "/d.csv": b'a,"open', "/e.docx": fixtures.docx([])}
+    df = spark.createDataFrame(list(data.items()), "path string, content binary")
+    told = lambda: {r.path: (r.status, r.lost) for r in convert.convert(df).collect()}
+    assert told() == {"/a.csv": ("success", 0), "/b.tsv": ("success", 0), "/c.csv": ("success", 0), "/d.csv": ("success", 0), "/e.docx": ("unverified", 0)}
+    want = {r.text: r.n for r in convert.evidence(df.where("path = '/c.csv'")).collect()}
+    assert want == {" 1 |": 5, " 2 |": 1}
+    out = spark.createDataFrame([("/c.csv", "| 행 | 열1 | 열2 |\n| --- | --- | --- |\n| 1 | 1 | 1 |\n| 2 | 1 |  |")], "path string, markdown string")
+    from doclattice.operators import verify
+
+    assert [(r.text, r.lost) for r in verify.shortfall(convert.evidence(df.where("path = '/c.csv'")), out, "path", "text").collect()] == [(" 1 |", 1)]
