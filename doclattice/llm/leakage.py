@@ -182,17 +182,13 @@ class Search:
                     if len(p) > LONG:
                         for start in range(0, len(p) - WINDOW // 2, WINDOW // 2):
                             parts.append(p[start : start + WINDOW]), doc.append(d), place.append(k), at.append(start)
-            for a in range(0, len(parts), 1024):
-                z = a + 1024
-                yield from ((lo + d, self.items[i][0]) for d, i in self._cases(parts[a:z], np.array(doc[a:z]), place[a:z], np.array(at[a:z]), plain))
+            yield from ((lo + d, self.items[i][0]) for d, i in self._cases(parts, np.array(doc), place, np.array(at), plain))
 
     def _cases(self, parts: list[str], doc: np.ndarray, place: list[int], at: np.ndarray, plain: list[list[str]]) -> list[tuple[int, int]]:
-        """Cases among the passages of some documents.
-
-        A document whose passages lie in two blocks is judged by each; cases are made distinct later.
-        """
+        """Cases among the passages of some documents: candidates come in blocks, each document is judged as a whole."""
         floor = np.where(at >= 0, np.float32(NEAR_WINDOW), np.float32(NEAR))
-        rows, cols = self._candidates(latent(parts, self.scaled), floor)
+        got = [(a + r, c) for a in range(0, len(parts), 1024) for r, c in [self._candidates(latent(parts[a : a + 1024], self.scaled), floor[a : a + 1024])]]
+        rows, cols = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*got, strict=True) if got else ((), ())))
         if not len(rows):
             return []
         keep = self._voted(doc, rows, cols)

@@ -56,6 +56,15 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
+def test_long_documents_are_judged_as_a_whole(spark):
+    """Half of an item, two sentences near each end of a document of over 1,024 passages."""
+    s = [f"{PLACE[j]}의 {NOUN[j * 2 % 15]} 목록 {j * 17}번은 {NOUN[j + 3]} 담당자가 {PLACE[7 - j]}으로 옮겼다." for j in range(8)]
+    noise = " ".join(PLAIN() for _ in range(1_500))
+    d = spark.createDataFrame([(1, f"{s[0]} {s[1]} {noise} {s[2]} {s[3]}"), (2, f"{s[0]} {s[1]} {noise}")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, " ".join(s))], "item_id bigint, text string")
+    assert [tuple(r) for r in leakage.leaks(d, i).collect()] == [(1, 7)]
+
+
 def test_lcs_against_brute_force():
     def slow(a, b):
         t = [0] * (len(b) + 1)
