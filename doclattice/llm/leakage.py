@@ -246,7 +246,7 @@ class Search:
         for j, s in enumerate(sentences):
             if got >= need or got + len(sentences) - j < need:
                 break
-            got += s in whole or any(x <= -SAME or len(p) >= COVER * len(s) <= lcs(s, p) for x, k, start in sorted(near.get(self.first[item] + j, ()))[:3] for p in [self._around(own, k, start, len(s))])
+            got += s in whole or any(x <= -SAME or len(p) >= COVER * len(s) <= lcs(s, p) for x, k, start in sorted(near.get(self.first[item] + j, ())) for p in [self._around(own, k, start, len(s))])
         return got >= need
 
     @staticmethod

@@ -65,6 +65,15 @@ def test_long_documents_are_judged_as_a_whole(spark):
     assert [tuple(r) for r in leakage.leaks(d, i).collect()] == [(1, 7)]
 
 
+def test_all_near_passages_are_aligned():
+    true = "창고담당자가예산서류를현관으로옮기고기록을남겼다고보고했다"
+    own = [*["창고담당자가예산회의를강당에서열고점검을마쳤다고말씀했다"] * 4, true.replace("현관", "옥상")]
+    search = object.__new__(leakage.Search)
+    search.items, search.first = [(1, [true])], np.array([0])
+    near = {0: [(-0.9 + k / 100, k, -1) for k in range(5)]}
+    assert search._holds(own, near, 0) and not search._holds(own[:4], {0: near[0][:4]}, 0)
+
+
 def test_lcs_against_brute_force():
     def slow(a, b):
         t = [0] * (len(b) + 1)
