@@ -34,6 +34,12 @@ def test_levels(spark):
     assert readability.found(d, lab.limit(0)).count() == 0 and readability.found(d.limit(0), lab).count() == 0
 
 
+def test_models_count_whole_documents():
+    texts = [" ".join(HARD() for _ in range(200)), " ".join(EASY() for _ in range(300))]
+    m = readability.train([(texts[0], 4.0, 1), (texts[1], 1.0, 1)])
+    assert m.total.sum() == pytest.approx(sum(len(s) + 1 for t in texts for s in readability.sentences(t)), rel=1e-4)
+
+
 def test_isotonic():
     x, y = readability.isotonic(np.array([1, 2, 3, 4.0]), np.array([1, 3, 2, 4.0]), np.ones(4))
     assert list(np.interp([1, 2, 3, 4], x, y)) == [1, 2.5, 2.5, 4]
