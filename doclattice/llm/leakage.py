@@ -4,9 +4,10 @@ Passages (sentences, and windows where a sentence does not end) become TF-IDF ve
 character trigrams of their letters and digits alone, so that case, spacing, line breaks,
 punctuation, Markdown signs and look-alike characters do not count. A randomised SVD, its sketches
 summed over the partitions, gives the latent space; each passage's cosine with every sentence of
-the stated evaluation items names candidate (document, item) pairs. A candidate counts if at least
-half of the item's sentences stand in the document: wholly, or by a longest common subsequence that
-covers ``COVER`` of the sentence within the neighbourhood of its nearest passages.
+the stated evaluation items names candidates. In every document and item that share enough of them,
+every candidate is aligned: the sentence stands in the document wholly, or a longest common
+subsequence within the candidate's neighbourhood covers ``COVER`` of it and keeps its answers, that
+is most of its figures. A case has at least half of the item's sentences in the document.
 
 Inverse document frequencies come from all documents; the SVD is fitted on a bounded sample of
 them; every document is searched with its whole text.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,117 +34,278 @@ FEATURES = 4096
 RANK = 96
 #: Documents on which the SVD is fitted, about; the sample is taken by the hash of the id.
 FIT_DOCUMENTS = 4_000
-#: Items whose sentences are searched for in one go; larger sets are searched in blocks.
-BLOCK_ITEMS = 2_000
-#: Cosine from which a passage may hold a sentence, and the share of an item's sentences that makes a candidate.
+#: Items whose sentences a scan of the documents looks for; a larger set takes as many scans as it has blocks.
+BLOCK_ITEMS = 20_000
+#: Cosine from which a passage, or a window of a long one, may hold a sentence, and the share of an item's sentences that makes a candidate.
 NEAR, NEAR_WINDOW, SHARE = 0.93, 0.8, 0.34
-#: Exact TF-IDF cosine that a candidate needs, for passages and for windows of long ones.
-CLOSE, CLOSE_WINDOW = 0.66, 0.5
-#: Exact cosine from which a passage is the sentence, without aligning them.
-SAME = 0.93
-#: Share of a sentence that a common subsequence must cover; half the sentences make a case.
-COVER, HALF = 0.85, 0.5
+#: Share of a sentence, and of its figures, that a common subsequence must cover; half the sentences make a case.
+COVER, FIGURES, HALF = 0.85, 0.5, 0.5
+#: Letters of a sentence for each place where it may be changed, beside two; a candidate's neighbourhood holds all trigrams but those that ``COVER`` and so many places can cost.
+PLACES = 16
 #: Letters of a passage beyond which it is searched in overlapping windows as well.
 LONG, WINDOW = 170, 60
+#: Characters of documents taken together, and letters laid side by side in one step of the alignment.
+TOGETHER, STEP = 2_000_000, 1_000_000
+#: Buckets of letters by which a candidate's longest subsequence is bounded from above.
+BAG = 251
 
 # Syllables that close a Korean verb before 다: with a final ㅆ or ㄴ.
 _PAST, _PRESENT = ("".join(chr(c) for c in range(0xAC00, 0xD7A4) if (c - 0xAC00) % 28 == k) for k in (20, 4))
 # A passage ends after a full stop, at a blank line, before a list sign or table bar, and after a Korean verb's final ending.
+_END = r"[\s\"'”’)\]*_]"
 _SPLIT = re.compile(
-    r"(?<=[.!?。．！？])[\s\"'”’)\]*_]+|\n\s*\n|\n(?=[ \t]*(?:[#|>○•·]|[*-][ \t]|[0-9]+[.)][ \t]))"
-    rf"|(?<=[{_PAST}{_PRESENT}니이하]다|[세어아에예해네지]요)[ \n]+"
+    rf"{_END}(?:(?<=[.!?。．！？][\s\S]){_END}*|(?<=\n)(?:\s*\n|(?=[ \t]*(?:[#|>○•·]|[*-][ \t]|[0-9]+[.)][ \t])))"
+    rf"|(?<=[{_PAST}{_PRESENT}니이하]다[ \n])[ \n]*|(?<=[세어아에예해네지]요[ \n])[ \n]*)"
 )
 _BREAK = re.compile(r"<br ?/?>", re.I)
-_NOT_LETTERS = re.compile(r"[^\w\0]+|_+")
 
 
-def passages(text: str) -> list[str]:
-    """The letters and digits of each passage of a text, in one consistent form and in order."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", form(text))
-    if "<" in text:
-        text = _BREAK.sub("\n\n", text)
-    return [x for x in _NOT_LETTERS.sub("", _SPLIT.sub("\0", text.casefold())).split("\0") if x]
+@cache
+def _roles() -> np.ndarray:
+    """What each code point is: 1 a letter or digit, 2 the end of a passage, 3 the end of a document, 0 nothing that counts."""
+    out = np.array([chr(k).isalnum() for k in range(0x110000)], np.uint8)
+    out[0], out[1] = 2, 3
+    return out
 
 
-def _cells(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, feature) of every trigram."""
-    size = np.array([len(p) for p in parts], np.int64)
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)
-    if len(codes) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = np.repeat(np.arange(len(parts)), size)
-    h = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA6B) + codes[2:] * np.uint32(0xC2B2AE35)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x2C1B3C6D)
-    keep = own[:-2] == own[2:]
-    return own[:-2][keep], (h >> np.uint32(20)).astype(np.int64)[keep]
+@cache
+def _plain() -> frozenset[str]:
+    """Characters that have no other compatibility form, of ASCII and Hangul."""
+    return frozenset(map(chr, [*range(0x80), *range(0xAC00, 0xD7A4)]))
 
 
-def counts(parts: list[str]) -> np.ndarray:
-    """Passages by features, raw counts."""
-    own, feature = _cells(parts)
-    return np.bincount(own * FEATURES + feature, minlength=len(parts) * FEATURES).reshape(len(parts), FEATURES).astype(np.float32)
+@cache
+def _plainer(ch: str) -> str:
+    return unicodedata.normalize("NFKC", ch)
 
 
-def weighted(parts: list[str], idf: np.ndarray) -> np.ndarray:
-    a = counts(parts) * idf
-    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6)
+def _marked(text: str) -> str:
+    """A text in one consistent form, with a mark at the end of each passage."""
+    if not text.isascii():
+        text = form(text)
+        for ch in set(text) - _plain():
+            if (to := _plainer(ch)) != ch:
+                text = text.replace(ch, to)
+    if "<" in text:
+        text = _BREAK.sub("\n\n", text)
+    return _SPLIT.sub("\0", text.replace("\0", "").replace("\1", "").casefold())
+
+
+class Passages:
+    """The letters and digits of all passages of some texts, end to end: codes, and each passage's text, start and size."""
+
+    def __init__(self, texts: list[str]) -> None:
+        codes = np.frombuffer("\1".join(map(_marked, texts)).encode("utf-32-le", "replace"), np.uint32)
+        role = _roles()[codes]
+        codes, role = codes[role > 0], role[role > 0]
+        letter = role == 1
+        passage = np.cumsum(~letter, dtype=np.int64)[letter]
+        text = np.cumsum(role == 3, dtype=np.int64)[letter]
+        self.codes = codes[letter]
+        self.start = np.flatnonzero(np.diff(passage, prepend=-1))
+        self.size = np.diff(self.start, append=len(self.codes))
+        self.text = text[self.start]
+        h = np.zeros(0, np.uint32)
+        if len(self.codes) >= 3:
+            c = self.codes
+            h = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+        self.features = (h >> np.uint32(20)).astype(np.int64)
+
+    def string(self, a: int, z: int) -> str:
+        return self.codes[a:z].tobytes().decode("utf-32-le")
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, feature) of every trigram."""
+        own = np.repeat(np.arange(len(self.size)), self.size)
+        keep = own[2:] == own[:-2]
+        return own[:-2][keep], self.features[keep]
+
+    def weighted(self, idf: np.ndarray) -> np.ndarray:
+        """Passages by features, TF-IDF of length 1."""
+        own, feature = self.cells()
+        a = np.bincount(own * FEATURES + feature, minlength=len(self.size) * FEATURES).reshape(-1, FEATURES) * idf
+        return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6)
+
+
+def passages(text: str) -> list[str]:
+    """The letters and digits of each passage of a text, in one consistent form and in order."""
+    p = Passages([text])
+    return [p.string(a, a + n) for a, n in zip(p.start, p.size, strict=True)]
 
 
-def latent(parts: list[str], scaled: np.ndarray) -> np.ndarray:
-    """Unit vectors of passages in the latent space; scaled is the basis times the document frequencies' weights.
+def latent(p: Passages, start: np.ndarray, size: np.ndarray, scaled: np.ndarray) -> np.ndarray:
+    """Unit vectors of stretches of passages in the latent space; scaled is the basis times the document frequencies' weights.
 
-    Sparse: each passage's trigrams gather their rows of the basis, which are summed.
+    The sum of the trigrams' rows of the basis; stretches of about one length are summed together.
     """
-    own, feature = _cells(parts)
-    v = np.zeros((len(parts), scaled.shape[1]), np.float32)
-    if len(own):
-        start = np.flatnonzero(np.diff(own, prepend=-1))
-        v[own[start]] = np.add.reduceat(scaled[feature], start, axis=0)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
-    return v
+    table = np.r_[scaled, np.zeros((1, scaled.shape[1]), np.float32)]
+    grams = np.maximum(size - 2, 0)
+    order = np.argsort(grams, kind="stable")
+    v = np.zeros((len(start), scaled.shape[1]), np.float32)
+    at = int(np.searchsorted(grams[order], 1))
+    while at < len(order):
+        own = order[at : at + max(1, 6_000 // int(grams[order[at]]))]
+        own = own[grams[own] <= grams[own[0]] + 4]
+        at += len(own)
+        place = np.arange(int(grams[own[-1]]))
+        feature = p.features[np.minimum(start[own, None] + place, len(p.features) - 1)]
+        feature[place >= grams[own, None]] = len(scaled)
+        v[own] = table[feature].sum(axis=1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
+
+
+def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about ``TOGETHER`` characters; a longer text is a run of its own."""
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > TOGETHER:
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, number of its stretch) of all positions of some stretches."""
+    own = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(own)) + np.repeat(start - np.cumsum(np.r_[0, size])[:-1], size), own
+
+
+class Alignment:
+    """Longest common subsequences of known sentences with stretches of text, bit-parallel and many side by side."""
+
+    def __init__(self, sentences: list[str]) -> None:
+        p = Passages(sentences)  # letters alone already, so that each is one passage
+        self.passages, self.sizes = p, np.array([len(s) for s in sentences])
+        self.grams = self.sizes - 2 - (1 - COVER) * self.sizes - 2 * (2 + self.sizes / PLACES)
+        self.words = 1 << np.ceil(np.log2(np.maximum(1, -(-self.sizes // 64)))).astype(np.int64)  # in steps, so that many go side by side
+        self.figures = [np.fromiter((k for k, c in enumerate(s) if c.isdigit()), np.int64) for s in sentences]
+        codes = np.frombuffer("".join(sentences).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        own = np.repeat(np.arange(len(sentences)), self.sizes)
+        self.bags = np.bincount(own * BAG + codes % BAG, minlength=len(sentences) * BAG).reshape(-1, BAG).astype(np.uint16)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(np.r_[0, self.sizes])[:-1], self.sizes)
+        key = own << 21 | codes
+        self.keys, at = np.unique(key, return_inverse=True)
+        self.masks = np.zeros((len(self.keys) + 1, int(self.words.max(initial=1))), np.uint64)
+        np.bitwise_or.at(self.masks, (at, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+
+    def left(self, codes: np.ndarray, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Bits of the letters of each sentence that the longest common subsequence with its stretch leaves out."""
+        out = np.zeros((len(which), self.masks.shape[1]), np.uint64)
+        size = end - start
+        order = np.lexsort((size, self.words[which]))
+        at = 0
+        while at < len(order):
+            words, width = int(self.words[which[order[at]]]), int(size[order[at]])
+            own = order[at : at + max(1, STEP // max(width, 64))]
+            own = own[(self.words[which[own]] == words) & (size[own] <= 4 * width + 64)]
+            at += len(own)
+            own = own[np.argsort(which[own], kind="stable")]  # neighbours share their keys
+            place = np.arange(int(size[own].max()))[:, None]
+            ch = codes[np.minimum(start[own] + place, len(codes) - 1)].astype(np.int64)
+            key = which[own] << 21 | ch
+            hit = np.searchsorted(self.keys, key)
+            hit[(place >= size[own]) | (self.keys[np.minimum(hit, len(self.keys) - 1)] != key)] = len(self.keys)
+            v = [np.full(len(own), ~np.uint64(0)) for _ in range(words)]
+            columns = [np.ascontiguousarray(self.masks[:, w]) for w in range(words)]
+            for row in hit:
+                over = None
+                for w in range(words):
+                    u = columns[w][row]
+                    u &= v[w]
+                    total = v[w] + u
+                    carry = total < u
+                    if over is not None:
+                        total += over
+                        carry |= total < over
+                    over = carry
+                    v[w] ^= u
+                    v[w] |= total
+            for w in range(words):
+                out[own, w] = v[w]
+        bits = np.arange(64, dtype=np.uint64)
+        for w in range(out.shape[1]):  # bits beyond a sentence's end say nothing
+            room = np.clip(self.sizes[which] - 64 * w, 0, 64).astype(np.uint64)
+            out[:, w] &= np.where(room == 64, ~np.uint64(0), (np.uint64(1) << np.minimum(room, bits[-1])) - np.uint64(1))
+        return out
+
+    def possible(self, p: Passages, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the letters of each stretch, in whatever order, can cover the sentence, and enough of its trigrams stand there."""
+        stretch, of = np.unique(start << 32 | end, return_inverse=True)
+        a, size = stretch >> 32, (stretch & 0xFFFFFFFF) - (stretch >> 32)
+        ok = np.zeros(len(which), bool)
+        order = np.argsort(of, kind="stable")
+        bound = np.searchsorted(of[order], np.arange(len(stretch) + 1))
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(stretch):
+            hi = max(lo + 1, min(lo + 1_024, int(np.searchsorted(ends, ends[lo] + STEP))))
+            at, own = _spread(a[lo:hi], size[lo:hi])
+            bags = np.bincount(own * BAG + p.codes[at].astype(np.int64) % BAG, minlength=(hi - lo) * BAG).reshape(-1, BAG)
+            bags = np.minimum(bags, 0xFFFF).astype(np.uint16)
+            there = np.zeros((hi - lo, FEATURES), bool)
+            at, own = _spread(a[lo:hi], np.maximum(size[lo:hi] - 2, 0))
+            there[own, p.features[at]] = True
+            for k in range(bound[lo], bound[hi], 2_048):
+                pair = order[k : min(k + 2_048, bound[hi])]
+                s, r = which[pair], of[pair] - lo
+                may = np.minimum(self.bags[s], bags[r]).sum(axis=1, dtype=np.int32) >= COVER * self.sizes[s] - 1e-9
+                pair, s, r = pair[may], s[may], r[may]
+                at, own = _spread(self.passages.start[s], np.maximum(self.sizes[s] - 2, 0))
+                shared = np.bincount(own, there[r[own], self.passages.features[at]], len(pair))
+                ok[pair] = shared >= self.grams[s]
+            lo = hi
+        return ok
+
+    def stands(self, p: Passages, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each stretch holds the sentence: ``COVER`` of its letters in order, ``FIGURES`` of its figures among them."""
+        left = self.left(p.codes, which, start, end)
+        ok = np.bitwise_count(left).sum(axis=1) <= self.sizes[which] * (1 - COVER) + 1e-9
+        for k, row in enumerate(left):
+            at = self.figures[which[k]]
+            if ok[k] and len(at):
+                gone = row[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+                ok[k] = gone.sum() <= (1 - FIGURES) * len(at)
+        return ok
 
 
 def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
-    at: dict[str, int] = {}
-    for k, ch in enumerate(a):
-        at[ch] = at.get(ch, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    v = full
-    for ch in b:
-        u = v & at.get(ch, 0)
-        v = (v + u | v - u) & full
-    return len(a) - v.bit_count()
+    """Length of the longest common subsequence."""
+    codes = np.frombuffer(b.encode("utf-32-le", "replace"), np.uint32)
+    if not a or not b:
+        return 0
+    left = Alignment([a]).left(codes, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(codes)]))
+    return len(a) - int(np.bitwise_count(left).sum())
 
 
 class Search:
     """A block of evaluation items, ready to be looked for."""
 
     def __init__(self, items: list[tuple[int, list[str]]], idf: np.ndarray, basis: np.ndarray) -> None:
-        self.idf, self.scaled = idf, (idf[:, None] * basis).astype(np.float32)
-        self.items = items
+        self.scaled = (idf[:, None] * basis).astype(np.float32)
+        self.ids = np.array([i for i, _ in items], np.int64)
         self.sentences = [s for _, ss in items for s in ss]
         self.sizes = np.array([len(ss) for _, ss in items])
-        self.first = np.cumsum([0, *self.sizes])[:-1]
         self.item_of = np.repeat(np.arange(len(items)), self.sizes)
-        self.least = 0.7 * min(map(len, self.sentences))
-        vectors = latent(self.sentences, self.scaled)
-        self.groups = self._grouped(vectors)
+        self.alignment = Alignment(self.sentences)
+        self.least = 0.7 * self.alignment.sizes.min()
+        own = self.alignment.passages
+        self.groups = self._grouped(latent(own, own.start, own.size, self.scaled))
         self.centres = np.array([c for c, _, _, _ in self.groups], np.float32).T.copy()
         self.radii = np.array([r for _, r, _, _ in self.groups], np.float32)
-        self.exact = weighted(self.sentences, idf)
 
     @staticmethod
-    def _grouped(vectors: np.ndarray, n: int = 48, rounds: int = 8) -> list[tuple[np.ndarray, float, np.ndarray, np.ndarray]]:
-        """Sentences grouped by direction: (centre, widest angle to it, members, their vectors).
+    def _grouped(vectors: np.ndarray, rounds: int = 8) -> list[tuple[np.ndarray, float, np.ndarray, np.ndarray]]:
+        """Sentences grouped by direction, about twice as many groups as the root of their number: (centre, widest angle to it, members, their vectors).
 
         A passage within an angle of a member is within that angle and the group's of its centre, so
         that groups farther off are left out without losing a candidate.
         """
         rng = np.random.default_rng(5)
-        centres = vectors[rng.permutation(len(vectors))[:n]]
+        centres = vectors[rng.permutation(len(vectors))[: max(1, int(2 * len(vectors) ** 0.5))]]
         for _ in range(rounds):
             own = (vectors @ centres.T).argmax(axis=1)
             centres = np.array([vectors[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))], np.float32)
@@ -156,106 +319,88 @@ class Search:
         return out
 
     def _candidates(self, v: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, sentence) of every pair whose cosine reaches the passage's floor."""
+        """(stretch, sentence) of every pair whose cosine reaches the stretch's floor."""
         to = np.arccos(np.clip(v @ self.centres, -1, 1))
         near = to <= np.arccos(floor)[:, None] + self.radii + 1e-3
-        rows, cols = [], []
+        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, (_, _, members, vectors) in enumerate(self.groups):
             own = np.flatnonzero(near[:, k])
             if len(own):
                 r, c = np.nonzero(v[own] @ vectors >= floor[own, None])
                 rows.append(own[r])
                 cols.append(members[c])
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(rows), np.concatenate(cols)
 
-    def match(self, texts: list[str], docs_at_once: int = 48) -> Iterator[tuple[int, int]]:
+    def match(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """(text's position, item id) of every case."""
-        for lo in range(0, len(texts), docs_at_once):
-            plain = [passages(t) for t in texts[lo : lo + docs_at_once]]
-            parts, doc, place, at = [], [], [], []
-            for d, own in enumerate(plain):
-                for k, p in enumerate(own):
-                    if len(p) >= self.least:
-                        parts.append(p), doc.append(d), place.append(k), at.append(-1)
-                    if len(p) > LONG:
-                        for start in range(0, len(p) - WINDOW // 2, WINDOW // 2):
-                            parts.append(p[start : start + WINDOW]), doc.append(d), place.append(k), at.append(start)
-            yield from ((lo + d, self.items[i][0]) for d, i in self._cases(parts, np.array(doc), place, np.array(at), plain))
-
-    def _cases(self, parts: list[str], doc: np.ndarray, place: list[int], at: np.ndarray, plain: list[list[str]]) -> list[tuple[int, int]]:
-        """Cases among the passages of some documents: candidates come in blocks, each document is judged as a whole."""
-        floor = np.where(at >= 0, np.float32(NEAR_WINDOW), np.float32(NEAR))
-        got = [(a + r, c) for a in range(0, len(parts), 1024) for r, c in [self._candidates(latent(parts[a : a + 1024], self.scaled), floor[a : a + 1024])]]
+        for lo, hi in _portions(texts):
+            yield from ((lo + d, item) for d, item in self.cases(Passages(texts[lo:hi])))
+
+    def cases(self, p: Passages) -> list[tuple[int, int]]:
+        """(text, item id) of every case; each text is judged by all of its passages together."""
+        windows = [(k, o) for k in np.flatnonzero(p.size > LONG) for o in range(0, int(p.size[k]) - WINDOW // 2, WINDOW // 2)]
+        fit = np.flatnonzero(p.size >= self.least)
+        of = np.r_[fit, np.array([k for k, _ in windows], np.int64)]  # the passage of each stretch
+        start = np.r_[p.start[fit], np.array([p.start[k] + o for k, o in windows], np.int64)]
+        end = np.minimum(np.r_[p.start[fit] + p.size[fit], np.array([p.start[k] + o + WINDOW for k, o in windows], np.int64)], (p.start + p.size)[of])
+        window = np.arange(len(of)) >= len(fit)
+        floor = np.where(window, np.float32(NEAR_WINDOW), np.float32(NEAR))
+        got = [(a + r, c) for a in range(0, len(of), 4_096) for r, c in [self._candidates(latent(p, start[a : a + 4_096], (end - start)[a : a + 4_096], self.scaled), floor[a : a + 4_096])]]
         rows, cols = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*got, strict=True) if got else ((), ())))
-        if not len(rows):
-            return []
-        keep = self._voted(doc, rows, cols)
+        keep = self._enough(p.text[of[rows]], cols, np.ones(len(rows), bool))
         rows, cols = rows[keep], cols[keep]
         if not len(rows):
             return []
-        cos = self._exact(parts, rows, cols)
-        close = cos >= np.where(at[rows] >= 0, CLOSE_WINDOW, CLOSE)
-        rows, cols, cos = rows[close], cols[close], cos[close]
-        out = []
+        sizes = self.alignment.sizes[cols]
+        near = window[rows] | (p.size[of[rows]] <= np.maximum(LONG, 3 * sizes))  # the windows serve for the rest
+        rows, cols = rows[near], cols[near]
+        a, z = self._around(p, of[rows], start[rows], end[rows], window[rows], self.alignment.sizes[cols])
+        order = np.lexsort((z, a, cols))
+        each = order[np.any(np.diff(np.c_[cols, a, z][order], axis=0, prepend=-1) != 0, axis=1)]
+        doc, cols, a, z = p.text[of[rows[each]]], cols[each], a[each], z[each]
+        may = self.alignment.possible(p, cols, a, z)
+        may &= self._enough(doc, cols, may)
+        doc, cols, a, z = doc[may], cols[may], a[may], z[may]
+        ok = self.alignment.stands(p, cols, a, z)
         n = len(self.sentences)
-        pair = np.unique(doc[rows] * n + cols)
-        cases, votes = np.unique(pair // n * len(self.items) + self.item_of[pair % n], return_counts=True)
-        for case, vote in zip(cases, votes, strict=True):
-            d, item = divmod(int(case), len(self.items))
-            if vote < SHARE * self.sizes[item]:
-                continue
-            own = (doc[rows] == d) & (self.item_of[cols] == item)
-            near: dict[int, list[tuple[float, int, int]]] = {}
-            for r, c, x in zip(rows[own], cols[own], cos[own], strict=True):
-                near.setdefault(int(c), []).append((-float(x), place[r], int(at[r])))
-            if self._holds(plain[d], near, item):
-                out.append((d, item))
+        held = np.unique(doc[ok] * n + cols[ok])
+        holds = set(held.tolist())
+        each, votes = np.unique(held // n * len(self.ids) + self.item_of[held % n], return_counts=True)
+        whole: dict[int, str] = {}
+        bounds = np.searchsorted(p.text, np.arange(p.text[-1] + 2))
+        out = []
+        for case in each[votes >= SHARE * self.sizes[each % len(self.ids)]].tolist():
+            d, item = divmod(case, len(self.ids))
+            first, last = np.searchsorted(self.item_of, (item, item + 1))
+            if d not in whole:
+                lo, hi = bounds[d], bounds[d + 1]
+                whole[d] = p.string(p.start[lo], p.start[hi - 1] + p.size[hi - 1])
+            if sum(d * n + c in holds or self.sentences[c] in whole[d] for c in range(first, last)) >= HALF * (last - first):
+                out.append((d, int(self.ids[item])))
         return out
 
-    def _voted(self, doc: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """Pairs of those documents and items that share enough candidate sentences."""
+    def _enough(self, doc: np.ndarray, cols: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """Whether each pair's text and item share enough candidate sentences among the pairs that are counted."""
         n = len(self.sentences)
-        pair = np.unique(doc[rows] * n + cols)
-        votes = np.zeros((int(doc.max()) + 1, len(self.items)), np.int32)
-        np.add.at(votes, (pair // n, self.item_of[pair % n]), 1)
-        return (votes >= SHARE * self.sizes)[doc[rows], self.item_of[cols]]
-
-    def _exact(self, parts: list[str], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """TF-IDF cosine of each pair in the full space, passage by passage over its own trigrams."""
-        order = np.argsort(rows, kind="stable")
-        rows_in = rows[order]
-        ends = np.flatnonzero(np.diff(rows_in, prepend=-1, append=-1))
-        used = rows_in[ends[:-1]]
-        own, feature = _cells([parts[r] for r in used])
-        cell, tf = np.unique(own * FEATURES + feature, return_counts=True)
-        weight = (tf * self.idf[cell % FEATURES]).astype(np.float32)
-        bounds = np.searchsorted(cell, np.arange(len(used) + 1) * FEATURES)
-        out = np.zeros(len(rows), np.float32)
-        for k in range(len(used)):
-            a, z = bounds[k], bounds[k + 1]
-            w, pairs = weight[a:z], order[ends[k] : ends[k + 1]]
-            out[pairs] = self.exact[cols[pairs, None], cell[None, a:z] - k * FEATURES] @ w / max(float(np.sqrt(w @ w)), 1e-9)
-        return out
-
-    def _holds(self, own: list[str], near: dict[int, list[tuple[float, int, int]]], item: int) -> bool:
-        """Whether at least half of the item's sentences stand in the document."""
-        sentences = self.items[item][1]
-        need, got, whole = HALF * len(sentences), 0, "".join(own)
-        for j, s in enumerate(sentences):
-            if got >= need or got + len(sentences) - j < need:
-                break
-            got += s in whole or any(x <= -SAME or len(p) >= COVER * len(s) <= lcs(s, p) for x, k, start in sorted(near.get(self.first[item] + j, ())) for p in [self._around(own, k, start, len(s))])
-        return got >= need
+        pair = np.unique(doc[counted] * n + cols[counted])
+        case, votes = np.unique(pair // n * len(self.ids) + self.item_of[pair % n], return_counts=True)
+        return np.isin(doc * len(self.ids) + self.item_of[cols], case[votes >= SHARE * self.sizes[case % len(self.ids)]])
 
     @staticmethod
-    def _around(own: list[str], k: int, start: int, size: int) -> str:
-        """The passage in which a sentence may stand, with its neighbours where it is short."""
-        p = own[k]
-        if start >= 0:
-            return p[max(0, start - size) : start + WINDOW + size]
-        return p if len(p) >= COVER * size else "".join(own[max(0, k - 1) : k + 2])
+    def _around(p: Passages, of: np.ndarray, start: np.ndarray, end: np.ndarray, window: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The stretch in which a sentence may stand: the passage, with its neighbours where it is short; or the part of a long passage about a window.
+
+        The parts lie on a grid of the sentence's size, so that windows side by side have one part together.
+        """
+        lo, hi = p.start[of], p.start[of] + p.size[of]
+        short = ~window & (p.size[of] < COVER * size)
+        before, after = np.maximum(of - 1, 0), np.minimum(of + 1, len(p.size) - 1)
+        before, after = np.where(p.text[before] == p.text[of], before, of), np.where(p.text[after] == p.text[of], after, of)
+        step = np.maximum(size, WINDOW // 2)
+        part = lo + (start - lo) // step * step
+        a = np.where(window, np.maximum(lo, part - size), np.where(short, p.start[before], lo))
+        z = np.where(window, np.minimum(hi, part + step + WINDOW + size), np.where(short, p.start[after] + p.size[after], hi))
+        return a, z
 
 
 def frequencies(documents: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -266,11 +411,11 @@ def frequencies(documents: DataFrame) -> tuple[np.ndarray, int, int]:
         for b in batches:
             texts = b.column(0).to_pylist()
             docs += len(texts)
-            for lo in range(0, len(texts), 256):
-                parts = [p for t in texts[lo : lo + 256] for p in passages(t)]
-                n += len(parts)
-                own, feature = _cells(parts)
-                cells = np.sort((own * FEATURES + feature).astype(np.int32))
+            for lo, hi in _portions(texts):
+                p = Passages(texts[lo:hi])
+                n += len(p.size)
+                own, feature = p.cells()
+                cells = np.sort(own * FEATURES + feature)
                 total += np.bincount(cells[np.diff(cells, prepend=-1) > 0] % FEATURES, minlength=FEATURES)
         hit = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array([*hit, -1, -2], pa.int32()), pa.array([*total[hit], n, docs], pa.int64())], names=["feature", "n"])
@@ -301,9 +446,9 @@ def fit(documents: DataFrame, idf: np.ndarray, n_docs: int, passes: int = 2) ->
             for b in batches:
                 texts = b.column(0).to_pylist()
                 for lo in range(0, len(texts), 64):
-                    parts = [p for t in texts[lo : lo + 64] for p in passages(t)]
-                    if parts:
-                        a = weighted(parts, idf)
+                    p = Passages(texts[lo : lo + 64])
+                    if len(p.size):
+                        a = p.weighted(idf).astype(np.float32)
                         y += a.T @ (a @ here.value)
             yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary())], names=["y"])
 
@@ -314,7 +459,7 @@ def fit(documents: DataFrame, idf: np.ndarray, n_docs: int, passes: int = 2) ->
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of every leak; one narrow stage over the documents a block of items."""
+    """(doc_id, item_id) of every leak; one narrow stage over the documents a block of items. Only items and the basis are broadcast, a block at a time."""
     freq, n, n_docs = frequencies(documents)
     idf = np.log((1 + n) / (1 + freq)).astype(np.float32)
     basis = fit(documents, idf, n_docs)

@@ -71,13 +71,29 @@ def test_long_documents_are_judged_as_a_whole(spark):
     assert [tuple(r) for r in leakage.leaks(d, i).collect()] == [(1, 7)]
 
 
+def _search(items):
+    idf = np.ones(leakage.FEATURES, np.float32)
+    own = leakage.Passages([x for _, ss in items for x in ss])
+    return leakage.Search(items, idf, np.linalg.svd(own.weighted(idf), full_matrices=False)[2].T.astype(np.float32))
+
+
 def test_all_near_passages_are_aligned():
+    """A sentence that stands behind four others of the same turn of phrase is found, and they are no case."""
     true = "창고담당자가예산서류를현관으로옮기고기록을남겼다고보고했다"
-    own = [*["창고담당자가예산회의를강당에서열고점검을마쳤다고말씀했다"] * 4, true.replace("현관", "옥상")]
-    search = object.__new__(leakage.Search)
-    search.items, search.first = [(1, [true])], np.array([0])
-    near = {0: [(-0.9 + k / 100, k, -1) for k in range(5)]}
-    assert search._holds(own, near, 0) and not search._holds(own[:4], {0: near[0][:4]}, 0)
+    others = " ".join(["창고 담당자가 예산 회의를 강당에서 열고 점검을 마쳤다고 말씀했다."] * 4)
+    search = _search([(1, [true])])
+    assert list(search.match([f"{others} {true.replace('현관', '옥상')}.", others])) == [(0, 1)]
+
+
+def test_figures_are_answers():
+    """The same turn of phrase with other figures is no case, though the subsequence covers enough letters; order of rows makes no difference."""
+    said = [f"{PLACE[j]}의 {NOUN[j]} 목록은 2025년 {j + 3}월 1일부터 {j * 137 + 112}건이 접수되어 {NOUN[j + 3]} 담당자가 모두 확인하고 빠짐없이 정리하여 보고서와 함께 처리했다." for j in range(4)]
+    other = [s.replace("2025년", "1987년").replace("1일", "29일").replace(f"{j * 137 + 112}건", f"{900 - j * 77}건") for j, s in enumerate(said)]
+    search = _search([(5, leakage.passages(" ".join(said)))])
+    a, b = (leakage.passages(x)[0] for x in (said[1], other[1]))
+    assert leakage.lcs(a, b) >= 0.85 * len(a)
+    texts = [" ".join(said), " ".join(other), " ".join(said[:2]), said[0]]
+    assert list(search.match(texts)) == [(0, 5), (2, 5)] and sorted(search.match(texts[::-1])) == [(1, 5), (3, 5)]
 
 
 def test_lcs_against_brute_force():
