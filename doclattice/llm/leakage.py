@@ -6,8 +6,8 @@ punctuation, Markdown signs and look-alike characters do not count. A randomised
 summed over the partitions, gives the latent space; each passage's cosine with every sentence of
 the stated evaluation items names candidates. In every document and item that share enough of them,
 every candidate is aligned: the sentence stands in the document wholly, or a longest common
-subsequence within the candidate's neighbourhood covers ``COVER`` of it and keeps its answers, that
-is most of its figures. A case has at least half of the item's sentences in the document.
+subsequence within the candidate's neighbourhood covers ``COVER`` of it and keeps its answers: most
+of its figures and of what is rare in it. A case has at least half of the item's sentences in the document.
 
 Inverse document frequencies come from all documents; the SVD is fitted on a bounded sample of
 them; every document is searched with its whole text.
@@ -38,8 +38,10 @@ FIT_DOCUMENTS = 4_000
 BLOCK_ITEMS = 20_000
 #: Cosine from which a passage, or a window of a long one, may hold a sentence, and the share of an item's sentences that makes a candidate.
 NEAR, NEAR_WINDOW, SHARE = 0.93, 0.8, 0.34
-#: Share of a sentence, and of its figures, that a common subsequence must cover; half the sentences make a case.
-COVER, FIGURES, HALF = 0.85, 0.5, 0.5
+#: Share of a sentence that a common subsequence must cover; half the sentences make a case.
+COVER, HALF = 0.85, 0.5
+#: Answers: share of the figures that the subsequence keeps, and of the trigrams, weighted by rarity, that stand in the stretch.
+FIGURES, RARE = 0.5, 0.7
 #: Letters of a sentence for each place where it may be changed, beside two; a candidate's neighbourhood holds all trigrams but those that ``COVER`` and so many places can cost.
 PLACES = 16
 #: Letters of a passage beyond which it is searched in overlapping windows as well.
@@ -177,7 +179,8 @@ def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Alignment:
     """Longest common subsequences of known sentences with stretches of text, bit-parallel and many side by side."""
 
-    def __init__(self, sentences: list[str]) -> None:
+    def __init__(self, sentences: list[str], idf: np.ndarray) -> None:
+        self.idf = idf
         p = Passages(sentences)  # letters alone already, so that each is one passage
         self.passages, self.sizes = p, np.array([len(s) for s in sentences])
         self.grams = self.sizes - 2 - (1 - COVER) * self.sizes - 2 * (2 + self.sizes / PLACES)
@@ -261,14 +264,17 @@ class Alignment:
         return ok
 
     def stands(self, p: Passages, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Whether each stretch holds the sentence: ``COVER`` of its letters in order, ``FIGURES`` of its figures among them."""
+        """Whether each stretch holds the sentence: ``COVER`` of its letters in order, and its answers."""
         left = self.left(p.codes, which, start, end)
         ok = np.bitwise_count(left).sum(axis=1) <= self.sizes[which] * (1 - COVER) + 1e-9
-        for k, row in enumerate(left):
+        for k in np.flatnonzero(ok):
             at = self.figures[which[k]]
-            if ok[k] and len(at):
-                gone = row[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-                ok[k] = gone.sum() <= (1 - FIGURES) * len(at)
+            gone = left[k, at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            first = self.passages.start[which[k]]
+            grams = self.passages.features[first : first + max(0, self.sizes[which[k]] - 2)]
+            weight = self.idf[grams]
+            there = np.isin(grams, p.features[start[k] : max(start[k], end[k] - 2)])
+            ok[k] = gone.sum() <= (1 - FIGURES) * len(at) and weight[there].sum() >= RARE * weight.sum() - 1e-6
         return ok
 
 
@@ -277,7 +283,7 @@ def lcs(a: str, b: str) -> int:
     codes = np.frombuffer(b.encode("utf-32-le", "replace"), np.uint32)
     if not a or not b:
         return 0
-    left = Alignment([a]).left(codes, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(codes)]))
+    left = Alignment([a], np.ones(FEATURES, np.float32)).left(codes, np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(codes)]))
     return len(a) - int(np.bitwise_count(left).sum())
 
 
@@ -290,7 +296,7 @@ class Search:
         self.sentences = [s for _, ss in items for s in ss]
         self.sizes = np.array([len(ss) for _, ss in items])
         self.item_of = np.repeat(np.arange(len(items)), self.sizes)
-        self.alignment = Alignment(self.sentences)
+        self.alignment = Alignment(self.sentences, idf)
         self.least = 0.7 * self.alignment.sizes.min()
         own = self.alignment.passages
         self.groups = self._grouped(latent(own, own.start, own.size, self.scaled))
