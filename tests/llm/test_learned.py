@@ -129,26 +129,40 @@ def test_scan_noise(spark):
     assert scan_noise.found(df.limit(0)).count() == 0
 
 
-def test_frequent_misreadings_are_looked_at():
+def test_frequent_misreadings_are_looked_at(spark):
     """A misreading grows with the table as its link does; only their ratio counts."""
-    for scale in (1, 10, 1000):
-        known = {"것으로": 4_090 * scale, "것으료": 37 * scale, "한다": 9_000 * scale, "할다": 8_000 * scale}
-        r = scan_noise.Reader(known, {}, np.zeros((0, 32), np.float32), np.zeros((0, 32), np.float32))
-        assert list(r.corrections(["한다", "것으료", "할다"])) == [(1, "것으로")], scale
+    for scale in (1, 100, 10_000):
+        known = {"것으로": 4_090, "것으료": 37, "한다": 9_000, "할다": 8_000, "로비의": 150, "로비외": 11}
+        df = spark.createDataFrame([(w, n * scale) for w, n in known.items()], "word string, n bigint")
+        assert [(r.word, [x.w for x in r.links]) for r in scan_noise.links(df).collect()] == [("것으료", ["것으로"])], scale
 
 
-def test_every_word_counts(spark, monkeypatch):
-    """Rare words count as often as they occur, whatever the size of the vocabulary; linked words have vectors."""
-    monkeypatch.setattr(scan_noise, "VECTORS", 4)
+def test_every_word_counts(spark):
+    """Rare words count as often as they occur, words that only joining brings about are known, and all ends of lines meet their counts."""
     line = "우리 모두 함께 여기 저기 그렇게 다시 말한다 오늘"
     rows = [(k, "\n".join([line] * 10 + ["어제 담당자는 왔다"] * 2), 0) for k in range(10)]
-    rows += [(50, "그때 로비외 갔다\n" + "\n".join(["그때 로비의 갔다"] * 10), 0), (51, "이제 담당지는 왔다", 0), (52, "the well-known case\nit is well-\nknown here.", 0), (53, "the note is unwell-\nknowing here.", 0)]
+    rows += [(51, "우리 모두 담당지는 함께 여기", 0), (52, "the well-known case\nit is well-\nknown here.", 0), (53, "the note is unwell-\nknowing here.", 0), (54, "가" * 60 + " 나", 0)]
     df = spark.createDataFrame(rows, "res_id bigint, markdown string, flaw int")
-    reader = scan_noise.learn(df)
-    assert reader.known.get("담당자는") == 20 and reader.known.get("로비외") == 1 and reader.known.get("우리") == 0 and reader.known.get("없다") is None
-    assert reader.linked == {"담당지는": ("담당자는",)}  # 로비의 is 10 times as frequent as 로비외, not 15
-    assert len(reader.around) == 4 and "담당자는" in reader.index and reader.centre.shape[0] == len(reader.index)
-    assert reader._cut("unwell", "knowing") and not reader._cut("well", "known")
+    counted = {r.word: r.n for r in scan_noise.vocabulary(df).collect()}
+    assert counted["담당자는"] == 20 and counted["우리"] == 0 and counted["unwellknowing"] == 0 and "없다" not in counted and "가" * 60 in counted
+    flaws, fixes = scan_noise.places(df)
+    assert {(r.res_id, r.kind) for r in flaws.collect()} == {(52, "apart"), (53, "cut")}
+    assert [(r.res_id, r.word, r.new) for r in fixes.collect()] == [(51, "담당지는", "담당자는")]
+
+
+def test_context_alone_decides(spark):
+    """Two frequent words are one edit away, one of them twice as frequent; the words around tell which was meant."""
+    a, b = "회의실에서 주민 대표가 누가리 안내판을 고쳤다 그리고", "약국에서 환자 가족이 누거리 처방전을 받았다 그리고"
+    rows = [(k, "\n".join([a] * 20 + [b] * 10), 0) for k in range(10)] + [(50, a.replace("누가리", "누기리"), 0), (51, b.replace("누거리", "누기리"), 0)]
+    assert sorted(scan_noise.candidates("누기리", {"누가리": 200, "누거리": 100}, 8)) == ["누가리", "누거리"]
+    df = spark.createDataFrame(rows, "res_id bigint, markdown string, flaw int")
+    assert {r.res_id: r.new for r in scan_noise.places(df)[1].collect()} == {50: "누가리", 51: "누거리"}
+
+
+def test_filter_misses_no_word(spark):
+    words = ["가나다", "abc", "", "a" * 300, "“”", "𝒳"]
+    got = scan_noise.words_of(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert all(w in got for w in words) and sum(f"w{k}" in got for k in range(1_000)) < 5
 
 
 def test_keys_are_kept_by_edits():
