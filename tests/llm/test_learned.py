@@ -140,7 +140,7 @@ def test_frequent_misreadings_are_looked_at(spark):
 def test_every_word_counts(spark):
     """Rare words count as often as they occur, words that only joining brings about are known, and all ends of lines meet their counts."""
     line = "우리 모두 함께 여기 저기 그렇게 다시 말한다 오늘"
-    rows = [(k, "\n".join([line] * 10 + ["어제 담당자는 왔다"] * 2), 0) for k in range(10)]
+    rows = [(k, "\n".join([line] * 10 + ["우리 모두 담당자는 함께 여기"] * 2), 0) for k in range(10)]
     rows += [(51, "우리 모두 담당지는 함께 여기", 0), (52, "the well-known case\nit is well-\nknown here.", 0), (53, "the note is unwell-\nknowing here.", 0), (54, "가" * 60 + " 나", 0)]
     df = spark.createDataFrame(rows, "res_id bigint, markdown string, flaw int")
     counted = {r.word: r.n for r in scan_noise.vocabulary(df).collect()}
