@@ -122,25 +122,35 @@ def keys(results: DataFrame) -> DataFrame:
     return _texts(results).mapInArrow(_keys, "res_id bigint, look binary, raw binary")
 
 
+def spellings(keyed: DataFrame) -> DataFrame:
+    """(look, raw, lo, n): one row for each spelling of each class, with its smallest id and its copies; partial aggregation collapses equal copies before the shuffle."""
+    return keyed.groupBy("look", "raw").agg(F.min("res_id").alias("lo"), F.count("*").alias("n"))
+
+
 def classes(results: DataFrame) -> DataFrame:
     """One row per result: its class (the smallest id that looks the same), the class's size and number of spellings.
 
     Partial aggregation bounds what a hot class sends; the classes join back by digest.
     """
     k = cut(keys(results))
-    sizes = k.groupBy("look", "raw").agg(F.min("res_id").alias("lo"), F.count("*").alias("n"))
-    of = sizes.groupBy("look").agg(F.min("lo").alias("class_id"), F.sum("n").alias("n_members"), F.count("*").alias("n_spellings"))
+    of = spellings(k).groupBy("look").agg(F.min("lo").alias("class_id"), F.sum("n").alias("n_members"), F.count("*").alias("n_spellings"))
     return k.join(of, "look").select("res_id", "class_id", "n_members", "n_spellings")
 
 
 def pairs(results: DataFrame) -> DataFrame:
-    """(res_lo, res_hi): results that look the same and are not equal.
+    """(res_lo, res_hi): results that look the same and are not equal, all of them, as the query's definition asks.
 
-    Only classes with two spellings or more reach the join, which AQE splits where one is hot.
+    Pairs of spellings are found among collapsed copies; only members of classes with two spellings
+    or more meet them, by spelling, so that no pair of equal copies is ever formed. Where a spelling
+    is hot, AQE splits the join. ``classes`` tells the same in one row per result.
     """
-    k = cut(keys(results))
-    many = k.groupBy("look").agg(F.min("raw").alias("a"), F.max("raw").alias("z")).where("a <> z").select("look")
-    own = k.join(many, "look", "left_semi")
-    left = own.select("look", F.col("res_id").alias("res_lo"), F.col("raw").alias("raw_lo"))
-    right = own.select("look", F.col("res_id").alias("res_hi"), F.col("raw").alias("raw_hi"))
-    return left.join(right, "look").where("res_lo < res_hi and raw_lo <> raw_hi").select("res_lo", "res_hi").distinct()
+    k = cut(keys(results).dropDuplicates(["res_id", "raw"]))
+    groups = spellings(k)
+    many = groups.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
+    own = groups.join(many, "look", "left_semi").select("look", "raw")
+    both = own.withColumnRenamed("raw", "raw_a").join(own.withColumnRenamed("raw", "raw_b"), "look").where("raw_a < raw_b").select("raw_a", "raw_b")
+    left, right = (k.select(F.col("raw").alias(f"raw_{x}"), F.col("res_id").alias(f"res_{x}")) for x in "ab")
+    met = both.join(left, "raw_a").join(right, "raw_b")
+    return met.select(F.least("res_a", "res_b").alias("res_lo"), F.greatest("res_a", "res_b").alias("res_hi")).where("res_lo < res_hi")
+
+

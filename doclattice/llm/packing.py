@@ -102,11 +102,6 @@ def sized(documents: DataFrame, bins: DataFrame) -> DataFrame:
     return whole.unionByName(large.select("bin_name", "capacity", "doc_id", "p.piece", F.col("p.start").alias("start_byte"), "p.tokens"))
 
 
-def divided(documents: DataFrame, bins: DataFrame) -> DataFrame:
-    """(bin_name, doc_id) of every document that had to be divided: those with a second piece."""
-    return sized(documents, bins).where("piece = 1").select("bin_name", "doc_id")
-
-
 _ITEM = "bin_name string, capacity int, doc_id bigint, piece int, start_byte int, tokens int, window bigint"
 _MERGED = "bin_name string, capacity int, window bigint, used int, into bigint, open boolean"
 
@@ -187,6 +182,11 @@ def fill(documents: DataFrame, bins: DataFrame, open_windows: int = OPEN_WINDOWS
     return out.select("bin_name", "doc_id", "piece", "start_byte", "tokens", F.coalesce("into", "window").alias("container"))
 
 
+def divided(documents: DataFrame, bins: DataFrame) -> DataFrame:
+    """(bin_name, doc_id) of every document that the filling had to divide: those with a second piece in a container."""
+    return fill(documents, bins).where("piece = 1").select("bin_name", "doc_id")
+
+
 def filling(documents: DataFrame, bins: DataFrame) -> DataFrame:
     """Per kind: containers, tokens in them and the share of unused space."""
     each = fill(documents, bins).join(F.broadcast(bins.select("bin_name", "capacity").distinct().limit(MOST_KINDS)), "bin_name")
