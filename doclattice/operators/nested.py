@@ -1,11 +1,14 @@
 """Deeply nested semi-structured records as flat node tables (interval labelling).
 
-Every object of a tree gets the numbers of a depth-first walk: ``pre`` (order of entering) and
-``post`` (order of leaving). Object *a* encloses object *b* exactly if ``a.pre < b.pre`` and
-``a.post > b.post``; a child's nearest encloser is also written as ``parent_pre``, so that child
-tables join their parent on ``(res_id, tree, parent_pre = pre)`` without a range join.
-
-Defined results: a null or unreadable tree has no nodes; a null in a list keeps its position and
+Every tree's root and every object below it gets the numbers of a depth-first walk: ``pre`` (order
+of entering; the root has 0) and ``post`` (order of leaving). Node *a* encloses node *b* exactly if
+``a.pre < b.pre`` and ``a.post > b.post``; a child's nearest encloser is also written as
+``parent_pre``, so that child tables join their parent on ``(res_id, tree, parent_pre = pre)`` without
+a range join. Scalars, those of the root and those in lists among them, are rows of the value table,
+which names the enclosing node's number as well.
+
+Defined results: a null or unreadable tree has no nodes, not even a root (unreadable is also what is nested
+beyond the JSON reader's recursion, thousands of levels); a null in a list keeps its position and
 has no node; text that holds the JSON of an object or list counts as that value; an object alone
 in one of ``LONE_LISTS`` counts as position 0 of a list; empty tables give empty tables.
 """
@@ -24,13 +27,14 @@ LONE_LISTS = frozenset({"images", "sheets", "charts", "series"})
 
 NODE_SCHEMA = (
     "res_id bigint, tree string, node_type string, node_path string, parent_path string, "
-    "pre int, post int, parent_pre int, depth int, fields map<string,string>"
+    "pre int, post int, parent_pre int, depth int, fields map<string,string>, items array<struct<path:string,value:string>>"
 )
 _ARROW = pa.schema(
     [
         ("res_id", pa.int64()), ("tree", pa.string()), ("node_type", pa.string()), ("node_path", pa.string()),
         ("parent_path", pa.string()), ("pre", pa.int32()), ("post", pa.int32()), ("parent_pre", pa.int32()),
         ("depth", pa.int32()), ("fields", pa.map_(pa.string(), pa.string())),
+        ("items", pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))),
     ]
 )
 
@@ -64,52 +68,56 @@ def _unwrapped(value):
     return value
 
 
+ROOT = "root"
+
+
 def label(column: str, value) -> list[tuple]:
-    """Nodes of one tree: (type, path, parent path, pre, post, parent pre, depth, scalar fields).
+    """Nodes of one tree, its root first: (type, path, parent path, pre, post, parent pre, depth, scalar fields, scalars in lists).
 
-    The walk keeps its own stack: depth is bounded by the JSON reader, not by Python's recursion.
+    The walk keeps its own stack: depth is bounded by the JSON reader, not by Python's recursion. A
+    scalar in a list belongs to the nearest enclosing object, or to the root.
     """
     value = _unwrapped(value)
     if not isinstance(value, (dict, list)):
         return []
-    nodes: list[list] = []
-    pre = post = 0
-    root = isinstance(value, dict)
-    # (enter?, value, path, field, enclosing path, enclosing pre, depth, node index)
-    stack: list[tuple] = [(True, value, column, column, None, 0, 0, None)]
+    nodes: list[list] = [[ROOT, column, None, 0, 0, None, 0, {}, []]]
+    pre, post = 1, 0
+    # (value, path, field, number of the enclosing node); a value of None leaves that node
+    stack: list[tuple] = [(None, "", "", 0)]
+    top = value if isinstance(value, dict) else None
+
+    def below(obj: dict, path: str, at: int) -> list[tuple]:
+        later = []
+        for key, item in obj.items():
+            item = _unwrapped(item)
+            if isinstance(item, dict) and key in LONE_LISTS:
+                later.append((item, f"{path}/{key}/0", key, at))
+            elif isinstance(item, (dict, list)):
+                later.append((item, f"{path}/{key}", key, at))
+            elif item is not None:
+                nodes[at][7][key] = item if isinstance(item, str) else json.dumps(item)
+        return later
+
+    stack.extend(reversed(below(top, column, 0)) if top is not None else [(value, column, column, 0)])
     while stack:
-        enter, val, path, field, above, above_pre, depth, at = stack.pop()
-        if not enter:
-            if at is not None:
-                nodes[at][4] = post
+        val, path, field, up = stack.pop()
+        if val is None:
+            nodes[up][4] = post
             post += 1
-            continue
-        if isinstance(val, dict):
-            if root and above is None:
-                at, here, here_pre = None, column, pre
-                pre += 1
-            else:
-                at, here, here_pre = len(nodes), path, pre
-                nodes.append([field, path, above, pre, 0, above_pre, depth, {}])
-                pre += 1
-            stack.append((False, None, None, None, None, 0, 0, at))
-            later = []
-            for key, item in val.items():
-                item = _unwrapped(item)
-                if isinstance(item, dict) and key in LONE_LISTS:
-                    later.append((True, item, f"{path}/{key}/0", key, here, here_pre, depth + 1, None))
-                elif isinstance(item, (dict, list)):
-                    later.append((True, item, f"{path}/{key}", key, here, here_pre, depth + 1, None))
-                elif at is not None and item is not None:
-                    nodes[at][7][key] = item if isinstance(item, str) else json.dumps(item)
-            stack.extend(reversed(later))
+        elif isinstance(val, dict):
+            at = len(nodes)
+            nodes.append([field, path, nodes[up][1], pre, 0, nodes[up][3], nodes[up][6] + 1, {}, []])
+            pre += 1
+            stack.append((None, "", "", at))
+            stack.extend(reversed(below(val, path, at)))
         else:
-            above = column if above is None else above
             later = []
             for k, item in enumerate(val):
                 item = _unwrapped(item)
                 if isinstance(item, (dict, list)):
-                    later.append((True, item, f"{path}/{k}", field, above, above_pre, depth, None))
+                    later.append((item, f"{path}/{k}", field, up))
+                elif item is not None:
+                    nodes[up][8].append({"path": f"{path}/{k}", "value": item if isinstance(item, str) else json.dumps(item)})
             stack.extend(reversed(later))
     return [tuple(n) for n in nodes]
 
@@ -120,7 +128,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rid, meta, info in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             for name, text in (("meta", meta), ("info", info)):
                 for node in label(name, read_json(text)):
-                    for col, x in zip(cols, (rid, name, *node[:7], list(node[7].items())), strict=True):
+                    for col, x in zip(cols, (rid, name, *node[:7], list(node[7].items()), node[8]), strict=True):
                         col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
@@ -131,24 +139,36 @@ def json_nodes(results: DataFrame) -> DataFrame:
 
 
 def check_nodes(results: DataFrame) -> DataFrame:
-    """Nodes of the array column ``checks``, wholly in the JVM; children of the column's root (pre 0)."""
-    at = results.select("res_id", F.posexplode("checks").alias("pos", "c"), "checks").where("c is not null")
-    rank = F.size(F.filter(F.slice("checks", 1, F.col("pos") + 1), lambda x: x.isNotNull()))
+    """Nodes of the array column ``checks`` and its root, wholly in the JVM."""
+    filled = lambda a: F.size(F.filter(a, lambda x: x.isNotNull()))
+    # position 0 stands for the root
+    at = results.where("checks is not null").select("res_id", "checks", F.posexplode(F.concat(F.array(F.lit(None)), "checks")).alias("place", "c"))
+    rank = filled(F.slice("checks", 1, F.col("place")))
+    top = F.col("place") == 0
     text = F.map_filter(
         F.create_map(F.lit("item"), F.col("c.item"), F.lit("ok"), F.col("c.ok").cast("string"), F.lit("note"), F.col("c.note"), F.lit("metrics"), F.to_json("c.metrics")),
         lambda _, v: v.isNotNull(),
     )
-    return at.select(
-        "res_id", F.lit("checks").alias("tree"), F.lit("checks").alias("node_type"), F.concat(F.lit("checks/"), F.col("pos").cast("string")).alias("node_path"),
-        F.lit("checks").alias("parent_path"), rank.cast("int").alias("pre"), (rank - 1).cast("int").alias("post"), F.lit(0).alias("parent_pre"), F.lit(1).alias("depth"), text.alias("fields"),
+    return at.where(top | F.col("c").isNotNull()).select(
+        "res_id", F.lit("checks").alias("tree"), F.when(top, ROOT).otherwise("checks").alias("node_type"), F.when(top, "checks").otherwise(F.concat(F.lit("checks/"), (F.col("place") - 1).cast("string"))).alias("node_path"),
+        F.when(~top, "checks").alias("parent_path"), rank.cast("int").alias("pre"), F.when(top, filled(F.col("checks"))).otherwise(rank - 1).cast("int").alias("post"), F.when(~top, 0).alias("parent_pre"),
+        F.when(top, 0).otherwise(1).alias("depth"), text.alias("fields"), F.array().cast("array<struct<path:string,value:string>>").alias("items"),
     )
 
 
 def nodes(results: DataFrame) -> DataFrame:
-    """All nodes of a result's three trees."""
+    """All nodes of a result's three trees, the roots among them."""
     return check_nodes(results).unionByName(json_nodes(results))
 
 
+def values(results: DataFrame) -> DataFrame:
+    """The table of scalars: (res_id, tree, parent_pre, parent_path, value_path, value); with the node tables it holds every tree whole."""
+    n = nodes(results)
+    of = F.transform(F.map_entries("fields"), lambda e: F.struct(F.concat(F.col("node_path"), F.lit("/"), e["key"]).alias("path"), e["value"].alias("value")))
+    each = n.select("res_id", "tree", F.col("pre").alias("parent_pre"), F.col("node_path").alias("parent_path"), F.explode(F.concat(of, "items")).alias("v"))
+    return each.select("res_id", "tree", "parent_pre", "parent_path", F.col("v.path").alias("value_path"), "v.value")
+
+
 def node_table(all_nodes: DataFrame, tree: str, node_type: str, *fields: str) -> DataFrame:
     """The flat table of one type, its scalar fields as columns, with its labels and its parent's path."""
     own = all_nodes.where((F.col("tree") == tree) & (F.col("node_type") == node_type))
@@ -156,8 +176,8 @@ def node_table(all_nodes: DataFrame, tree: str, node_type: str, *fields: str) ->
 
 
 def found(results: DataFrame) -> DataFrame:
-    """(res_id, node_path, parent_path) of every node."""
-    return nodes(results).select("res_id", "node_path", "parent_path")
+    """(res_id, node_path, parent_path) of every node below a root."""
+    return nodes(results).where(F.col("node_type") != ROOT).select("res_id", "node_path", "parent_path")
 
 
 def by_type(results: DataFrame) -> DataFrame:
@@ -168,12 +188,11 @@ def by_type(results: DataFrame) -> DataFrame:
 
 
 def orphans(results: DataFrame) -> DataFrame:
-    """Nodes of depth 2 and more whose encloser, found by interval containment, is missing or another than the named one: none.
+    """Nodes below a root, of whatever depth, whose encloser by number is missing, named otherwise or does not contain them: none.
 
     The containment is checked on the equi-join by ``parent_pre``, so no range join is planned.
     """
     n = nodes(results)
     up = n.select("res_id", "tree", F.col("pre").alias("parent_pre"), F.col("post").alias("up_post"), F.col("node_path").alias("up_path"))
-    deep = n.where(F.col("parent_path") != F.col("tree"))
-    joined = deep.join(up, ["res_id", "tree", "parent_pre"], "left")
-    return joined.where("up_path is null or up_path <> parent_path or up_post <= post").select("res_id", "node_path", "parent_path")
+    joined = n.where(F.col("node_type") != ROOT).join(up, ["res_id", "tree", "parent_pre"], "left")
+    return joined.where("up_path is null or up_path <> parent_path or up_post <= post or parent_pre >= pre").select("res_id", "node_path", "parent_path")

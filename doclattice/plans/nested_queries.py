@@ -16,6 +16,7 @@ def queries() -> dict:
         "p5_pages": _table("meta", "pages", "page", "chars"),
         "p5_images": _table("meta", "images", "asset", "part", "sha256", "bytes"),
         "p5_checks": lambda spark, d: nested.node_table(nested.check_nodes(table(spark, d, "results")), "checks", "checks", "item", "ok", "note"),
+        "p5_values": lambda spark, d: nested.values(table(spark, d, "results")),
         "p5_types": lambda spark, d: nested.by_type(table(spark, d, "results")).drop("n_results"),
         "p5_orphans": lambda spark, d: nested.orphans(table(spark, d, "results")),
     }

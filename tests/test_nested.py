@@ -40,18 +40,36 @@ TREE = st.recursive(st.none() | st.integers() | st.text(max_size=4), lambda x: s
 def test_intervals_contain(value):
     """A node's parent is its nearest encloser by interval; labels are distinct."""
     nodes = nested.label("meta", value)
-    for kind, path, parent, pre, post, parent_pre, depth, _ in nodes:
+    for kind, path, parent, pre, post, parent_pre, depth, *_ in nodes:
         around = [n for n in nodes if n[3] < pre and n[4] > post]
         if around:
             near = max(around, key=lambda n: n[3])
-            assert (near[1], near[3]) == (parent, parent_pre)
+            assert (near[1], near[3], near[6] + 1) == (parent, parent_pre, depth)
         else:
-            assert parent == "meta" and parent_pre == 0
-    assert len({n[3] for n in nodes}) == len(nodes)
+            assert (kind, path, parent, pre, parent_pre) == (nested.ROOT, "meta", None, 0, None)
+    assert len({n[3] for n in nodes}) == len(nodes) and sorted(n[4] for n in nodes) == list(range(len(nodes)))
+
+
+def test_list_at_the_top():
+    """Elements of a list at the top hang on the root, which is none of them."""
+    nodes = nested.label("meta", [{"a": 1}, None, {"b": {"c": 2}}, 5, [7]])
+    assert [(n[1], n[2], n[3], n[5]) for n in nodes] == [("meta", None, 0, None), ("meta/0", "meta", 1, 0), ("meta/2", "meta", 2, 0), ("meta/2/b", "meta/2", 3, 2)]
+    assert nodes[0][8] == [{"path": "meta/3", "value": "5"}, {"path": "meta/4/0", "value": "7"}]
+
+
+def test_values(spark):
+    """Scalars of the top, of lists and of objects are all rows that name their encloser."""
+    meta = json.dumps({"title": "t", "n": 2, "tags": ["x", None, "y"], "p": {"q": True, "r": [[1.5]], "z": None}})
+    df = frame(spark, [(1, meta, None, [None, ("i", True, {"n": 1}, None)]), (2, "[3]", None, None)])
+    got = {(r.res_id, r.value_path): (r.value, r.parent_path, r.parent_pre) for r in nested.values(df).collect()}
+    assert got == {
+        (1, "meta/title"): ("t", "meta", 0), (1, "meta/n"): ("2", "meta", 0), (1, "meta/tags/0"): ("x", "meta", 0), (1, "meta/tags/2"): ("y", "meta", 0), (1, "meta/p/q"): ("true", "meta/p", 1),
+        (1, "meta/p/r/0/0"): ("1.5", "meta/p", 1), (1, "checks/1/item"): ("i", "checks/1", 1), (1, "checks/1/ok"): ("true", "checks/1", 1), (1, "checks/1/metrics"): ('{"n":1}', "checks/1", 1), (2, "meta/0"): ("3", "meta", 0),
+    }
 
 
 def test_deep_tree():
     value = {"a": 1}
     for _ in range(400):
         value = {"c": value}
-    assert len(nested.label("meta", value)) == 400
+    assert len(nested.label("meta", value)) == 401
