@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-ELEMENTS = "path string, ord int, part string, kind string, level int, text string, attrs map<string,string>"
+ELEMENTS = "path string, ord int, part string, kind string, level int, text string, attrs map<string,string>, data binary"
 PARTS = "path string, part string, ord int, data binary, error string"
 
 
@@ -32,6 +32,7 @@ class Element:
     level: int = 0
     part: str = ""
     attrs: dict[str, str] = field(default_factory=dict)
+    data: bytes | None = None
 
 
 def event(status: str, reason: str, part: str = "") -> Element:

@@ -44,11 +44,13 @@ def shortfall(evidence: DataFrame, output: DataFrame, key: str, text: str = "lin
 
 
 def report(missing: DataFrame, key: str, text: str = "line") -> DataFrame:
-    """Per document: occurrences lost, distinct texts, the first five samples of 60 characters."""
-    return missing.groupBy(key).agg(
-        F.sum("lost").alias("lost"), F.count("*").alias("kinds"),
-        F.slice(F.array_sort(F.collect_list(F.substring(text, 1, 60))), 1, 5).alias("samples"),
-    )
+    """Per document: occurrences lost, distinct texts, five samples of 60 characters, by their spelling.
+
+    The samples are limited before they are gathered, so that no document's losses are held whole.
+    """
+    totals = missing.groupBy(key).agg(F.sum("lost").alias("lost"), F.count("*").alias("kinds"))
+    some = missing.select(key, F.substring(text, 1, 60).alias("_sample")).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_sample"))).where("_n <= 5")
+    return totals.join(some.groupBy(key).agg(F.array_sort(F.collect_list("_sample")).alias("samples")), key)
 
 
 def worst(events: DataFrame, key: str, status: str = "status") -> DataFrame:

@@ -79,7 +79,9 @@ def strings(content: bytes) -> list[str]:
                 blocks.append(more)
             b = _Blocks(blocks)
             total = struct.unpack("<II", b.take(8))[1]
-            for _ in range(min(total, MOST)):
+            if total > MOST:
+                raise ValueError(f"{total} strings; {MOST} are allowed")
+            for _ in range(total):
                 head = b.take(3)
                 if len(head) < 3:
                     break

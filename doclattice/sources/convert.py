@@ -105,13 +105,13 @@ def elements_of(name: str, content: bytes, limits: Limits = Limits(), encoding:
 def extract(files: DataFrame, limits: Limits = Limits(), encoding: str | None = None) -> DataFrame:
     """Rows of ``ELEMENTS`` for (path, content); one narrow stage, one file in memory at a time."""
     limits = replace(limits)
-    schema = pa.schema([("path", pa.string()), ("ord", pa.int32()), ("part", pa.string()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))])
+    schema = pa.schema([("path", pa.string()), ("ord", pa.int32()), ("part", pa.string()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 path, content = b.column(0)[k].as_py(), b.column(1)[k].as_py() or b""
-                rows = [(path, n, e.part, e.kind, e.level, e.text, list(e.attrs.items())) for n, e in enumerate(elements_of(path, content, limits, encoding))]
+                rows = [(path, n, e.part, e.kind, e.level, e.text, list(e.attrs.items()), e.data) for n, e in enumerate(elements_of(path, content, limits, encoding))]
                 for lo in range(0, len(rows), 10_000):
                     cols = zip(*rows[lo : lo + 10_000], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
@@ -247,11 +247,44 @@ def evidence(files: DataFrame, encoding: str | None = None) -> DataFrame:
     return every.groupBy("path", "text").agg(F.count("*").alias("n"))
 
 
+def assets(elements: DataFrame) -> DataFrame:
+    """(path, name, sha256, data): the pictures and other parts that a document's text points to."""
+    a = elements.where("kind = 'asset'")
+    return a.select("path", F.col("text").alias("name"), F.col("attrs")["sha256"].alias("sha256"), "data")
+
+
 def convert(files: DataFrame, limits: Limits = Limits(), encoding: str | None = None) -> DataFrame:
     """One row per file: path, fmt, status, markdown, warnings, lost, kinds, n_assets."""
     from doclattice.session import cut
 
-    e = cut(extract(files, limits, encoding))  # read once, used for text and for events
+    return judged(files, cut(extract(files, limits, encoding)), limits, encoding)  # read once, used for text and for events
+
+
+def unread_parts(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(path, part) of package parts with text that the second route could not read: too large or broken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        want = re.compile(EVIDENCE_PARTS + r"|^xl/(?:worksheets/[^/]+|sharedStrings)\.xml$")
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        rows += [(path, i.filename) for i in z.infolist() if want.search(i.filename) and i.file_size > limits.xml_bytes]
+                except Exception as e:  # the whole package
+                    rows.append((path, f"{type(e).__name__}: {e}"))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "part"])
+
+    return files.where(extension(F.col("path")).isin(*PACKAGES)).select("path", "content").mapInArrow(run, "path string, part string")
+
+
+def judged(files: DataFrame, e: DataFrame, limits: Limits = Limits(), encoding: str | None = None) -> DataFrame:
+    """The results of files whose elements are at hand: rendered, reconciled with the second route, and given their status."""
+    from doclattice.session import cut
+
     e = e.withColumn("block", block())
     body = e.groupBy("path").agg(
         assemble.joined("block", "ord").alias("body"), F.count_if(F.col("kind") == "asset").alias("n_assets"),
@@ -266,6 +299,7 @@ def convert(files: DataFrame, limits: Limits = Limits(), encoding: str | None =
     lost = verify.report(verify.shortfall(wanted, out.select("path", "markdown"), "path", "text"), "path", "text").drop("samples")
     events = e.where("kind = 'event'").select("path", F.col("attrs")["status"].alias("status"))
     events = events.unionByName(lost.select("path", F.lit("partial").alias("status")))
+    events = events.unionByName(unread_parts(files, limits).select("path", F.lit("unverified").alias("status")))
     proven = wanted.select("path").distinct()
     events = events.unionByName(out.select("path").join(proven, "path", "left_anti").select("path", F.lit("unverified").alias("status")))
     status = verify.worst(events, "path").select("path", "status")

@@ -202,7 +202,7 @@ class Docx:
                     yield from blocks
         yield from self.events
         for name, (data, part) in self.assets.items():
-            yield Element("asset", name, 0, part, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))})
+            yield Element("asset", name, 0, part, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}, data)
 
 
 def every_row(t: ET.Element) -> Iterator[ET.Element]:

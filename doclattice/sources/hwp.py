@@ -106,20 +106,20 @@ class Hwp:
             raise Unreadable(f"version {version >> 24} isn't supported", "unsupported")
         if any(self.flags & bit for bit in _PROTECTED):
             raise Unreadable("the document is protected", "unsupported")
+        self.limits = limits
         info = list(records(self._open("DocInfo")))
         self.styles = [_wide(d, 0) for t, _, d in info if t == STYLE]
         self.bins = [d for t, _, d in info if t == BIN_DATA]
         self.side: list[Element] = []
         self.notes: list[str] = []
         self.placed: set[str] = set()
-        self.limits = limits
 
     def _open(self, name: str) -> bytes:
         data = self.file.get(name, b"")
         if self.flags & 1 and data:
             try:
-                return zlib.decompressobj(-15).decompress(data, self.limits.xml_bytes if hasattr(self, "limits") else 256 << 20)
-            except zlib.error as e:
+                return inflated(data, self.limits.xml_bytes)
+            except (zlib.error, ValueError) as e:
                 raise Unreadable(f"{name}: {e}") from None
         return data
 
@@ -149,7 +149,7 @@ class Hwp:
 
     def _asset(self, name: str) -> Element:
         data = self.file[name]
-        return Element("asset", "media/" + name.rpartition("/")[2], 0, name, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))})
+        return Element("asset", "media/" + name.rpartition("/")[2], 0, name, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}, data)
 
     def _lists(self, node: Node) -> Iterator[tuple[bytes, list[Node]]]:
         """Each list header with the paragraphs that follow it, as siblings or below it."""
@@ -264,13 +264,22 @@ def _all(node: Node) -> Iterator[Node]:
         yield from _all(n)
 
 
-def paragraph_texts(content: bytes) -> Iterator[str]:
+def inflated(data: bytes, most: int) -> bytes:
+    """A packed stream's bytes; one that grows beyond the bound is refused, not cut."""
+    d = zlib.decompressobj(-15)
+    out = d.decompress(data, most)
+    if d.unconsumed_tail:
+        raise ValueError(f"more than {most} bytes")
+    return out
+
+
+def paragraph_texts(content: bytes, most: int = Limits().xml_bytes) -> Iterator[str]:
     """The second route to a document's text: a flat scan over text records, without the tree."""
     file = Compound(content).streams
     packed = struct.unpack_from("<I", file.get("FileHeader", bytes(40)), 36)[0] & 1
     for name, data in file.items():
         if name.startswith("BodyText/Section"):
-            raw = zlib.decompressobj(-15).decompress(data) if packed else data
+            raw = inflated(data, most) if packed else data
             for tag, _, payload in records(raw):
                 if tag == PARA_TEXT:
                     yield from (str(x) for kind, x in tokens(payload) if kind == "text" and str(x).strip())

@@ -66,7 +66,7 @@ class Hwpx:
         if target not in self.placed:
             self.placed.add(target)
             data = self.package.bytes(target)
-            self.side.append(Element("asset", name, 0, target, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}))
+            self.side.append(Element("asset", name, 0, target, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}, data))
         return f"![그림: 내용 해석 안 됨]({name})"
 
     def _table(self, t: ET.Element, part: str) -> str:
@@ -144,7 +144,7 @@ class Hwpx:
         for n in self.package.names:
             if n.startswith("BinData/") and n not in self.placed:
                 data = self.package.bytes(n)
-                yield Element("asset", "media/" + posixpath.basename(n), 0, n, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))})
+                yield Element("asset", "media/" + posixpath.basename(n), 0, n, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}, data)
                 yield event("unverified", f"본문에서 참조를 확인하지 못한 자산: {n}", n)
         yield from self.side
 

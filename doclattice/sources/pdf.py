@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from doclattice.model import Element, Limits, Unreadable, event
+from doclattice.sources import truetype
 
 _SPACE = b" \t\r\n\f\x00"
 _DELIMITERS = b"()<>[]{}/%"
@@ -324,7 +325,11 @@ class Font:
         if isinstance(cmap, Stream):
             self._cmap(pdf.decode(cmap) or b"")
         enc = pdf.get(info.get("Encoding"))
+        base = pdf.get(enc.get("BaseEncoding")) if isinstance(enc, dict) else enc
+        self.western = base == "WinAnsiEncoding"
         self.named: dict[int, str] = {}
+        if self.wide and not self.map:
+            self.map = self._embedded(pdf, info)
         if isinstance(enc, dict):
             k = 0
             for x in pdf.get(enc.get("Differences")) or []:
@@ -334,6 +339,22 @@ class Font:
                     self.named[k] = _glyph(str(x))
                     k += 1
 
+    @staticmethod
+    def _embedded(pdf: Pdf, info: dict) -> dict[int, str]:
+        """Characters by the embedded program's own tables, where codes are glyphs or lead to them by a table."""
+        below = pdf.get(info.get("DescendantFonts"))
+        own = pdf.get(below[0]) if isinstance(below, list) and below else None
+        described = pdf.get(own.get("FontDescriptor")) if isinstance(own, dict) else None
+        program = pdf.get(described.get("FontFile2")) if isinstance(described, dict) else None
+        if not isinstance(program, Stream):
+            return {}
+        of = truetype.characters(pdf.decode(program) or b"", _glyph)
+        to = pdf.get(own.get("CIDToGIDMap"))
+        if isinstance(to, Stream):
+            data = pdf.decode(to) or b""
+            return {k: of[g] for k in range(len(data) // 2) if (g := int.from_bytes(data[2 * k : 2 * k + 2])) in of}
+        return of
+
     def _cmap(self, text: bytes) -> None:
         s, held = Scanner(text), []
         while (x := s.next()) is not None:
@@ -365,9 +386,11 @@ class Font:
             if self.wide and c == 0:
                 continue
             ch = self.map.get(c) or self.named.get(c)
-            if ch is None and not self.wide and c < 256:
+            if ch is None and not self.wide and (0x20 <= c < 0x7F or c in (9, 10, 13)):
+                ch = chr(c)
+            if ch is None and not self.wide and self.western and 0x80 <= c < 256:
                 ch = bytes([c]).decode("cp1252", "ignore") or None
-            if ch is None:
+            if ch is None or ch == "\ufffd":
                 ch = "\ufffd"
                 missing[c] += 1
             out.append(ch)
@@ -375,7 +398,7 @@ class Font:
 
 
 # Glyph names that are no single character.
-_GLYPHS = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde".split(), " !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", strict=True))
+_GLYPHS = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde endash emdash quoteleft quoteright quotedblleft quotedblright bullet ellipsis".split(), " !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~–—‘’“”•…", strict=True))
 
 
 def _glyph(name: str) -> str:
@@ -391,6 +414,7 @@ class Page:
     missing: Counter = field(default_factory=Counter)
     images: list[Stream] = field(default_factory=list)
     no_font: int = 0
+    cut: bool = False
     size: int = 0
 
     @property
@@ -418,12 +442,14 @@ def _run(pdf: Pdf, body: bytes, resources: dict, out: Page, depth: int) -> None:
 
     def show(data: bytes) -> None:
         nonlocal last
-        if font is None:
-            out.no_font += 1
-            return
         if out.size > _PAGE_CHARS:
+            out.cut = True
             return
-        text, n, missing = font.decode(data)
+        if font is None:
+            out.no_font += 1
+            text, n, missing = data.decode("latin-1"), len(data), Counter()
+        else:
+            text, n, missing = font.decode(data)
         if last is not None and out.parts:
             if abs(y - last[1]) > 1:
                 out.parts.append("\n")
@@ -518,6 +544,8 @@ def elements(content: bytes, limits: Limits) -> Iterator[Element]:
             yield Element("para", page.text, 0, attrs={"page": str(k), "codes": str(page.codes), "unmapped": str(page.missing.total()), "unmapped_codes": top})
         else:
             yield event("unverified", f"{k}쪽에는 글자가 없다")
+        if page.cut:
+            yield event("partial", f"{k}쪽은 {_PAGE_CHARS}자까지만 읽었다")
         if page.no_font:
             yield event("unverified", f"{k}쪽에 글꼴 없는 글자가 있다")
         for n, image in enumerate(page.images):
@@ -526,7 +554,7 @@ def elements(content: bytes, limits: Limits) -> Iterator[Element]:
             name = f"media/p{k}_{n}.{_IMAGE_KINDS.get(kind, 'raw')}"
             data = image.raw if kind in _IMAGE_KINDS else pdf.decode(image) or image.raw
             yield Element("para", f"![그림: 내용 해석 안 됨]({name})", 0, attrs={"raw": "1"})
-            yield Element("asset", name, 0, attrs={"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))})
+            yield Element("asset", name, 0, attrs={"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}, data=data)
         notes = []
         for a in pdf.get(info.get("Annots")) or []:
             a = pdf.get(a)

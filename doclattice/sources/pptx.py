@@ -45,7 +45,7 @@ class Pptx:
             if name not in self.saved:
                 self.saved.add(name)
                 data = self.package.bytes(target)
-                self.side.append(Element("asset", name, 0, target, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}))
+                self.side.append(Element("asset", name, 0, target, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}, data))
             return name
         return None
 

@@ -47,6 +47,22 @@ def _string(e) -> str:
     return "".join((c.text or "") if local(c) == "t" else "".join(t.text or "" for t in c if local(t) == "t") for c in e if local(c) in ("t", "r"))
 
 
+_REFERENCE = re.compile(r"\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'|(?<![A-Za-z0-9_.$])(\$?)([A-Za-z]{1,3})(\$?)([0-9]{1,7})(?![A-Za-z0-9_.(])")
+
+
+def shifted(formula: str, rows: int, columns: int) -> str:
+    """A shared formula as a dependant cell has it: references without a dollar sign move along, texts and sheet names stay."""
+
+    def move(m: re.Match) -> str:
+        if m[2] is None:
+            return m[0]
+        row, col = place(m[2].upper() + m[4])
+        row, col = row if m[3] else row + rows, col if m[1] else col + columns
+        return f"{m[1]}{letters(col)}{m[3]}{row}" if row > 0 and col > 0 else "#REF!"
+
+    return _REFERENCE.sub(move, formula)
+
+
 class Xlsx:
     def __init__(self, content: bytes, limits: Limits) -> None:
         self.package, self.limits = Package(content, limits), limits
@@ -75,16 +91,19 @@ class Xlsx:
     def cells(self, part: str) -> Iterator[tuple[int, int, str, str, str | None]]:
         """(row, column, kind, shown text, formula) of every stored cell."""
         root = self.package.xml(part)
-        shared: dict[str, str] = {}
+        shared: dict[str, tuple[str, int, int]] = {}
         for c in every(root, "c") if root is not None else ():
             row, col = place(attr(c, "r"))
             kind, f, v = attr(c, "t", "n"), child(c, "f"), child(c, "v")
             value = v.text if v is not None else None
             formula = None
             if f is not None:
-                formula = f.text or shared.get(attr(f, "si"))
+                formula = f.text
                 if attr(f, "t") == "shared" and f.text:
-                    shared[attr(f, "si")] = f.text
+                    shared[attr(f, "si")] = f.text, row, col
+                elif attr(f, "t") == "shared":
+                    master = shared.get(attr(f, "si"))
+                    formula = shifted(master[0], row - master[1], col - master[2]) if master else "[원본에 수식 없음]"
             if kind == "s":
                 k = int(value) if value and value.isdigit() else -1
                 text = self.strings[k] if 0 <= k < len(self.strings) else ""
@@ -150,7 +169,7 @@ class Xlsx:
         for n in self.package.names:
             if n.startswith("xl/media/"):
                 data = self.package.bytes(n)
-                yield Element("asset", "media/" + posixpath.basename(n), 0, n, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))})
+                yield Element("asset", "media/" + posixpath.basename(n), 0, n, {"sha256": hashlib.sha256(data).hexdigest(), "bytes": str(len(data))}, data)
             elif n.startswith("xl/externalLinks/") and n.endswith(".xml"):
                 yield event("unverified", "외부 연결 정의가 있음", n)
 

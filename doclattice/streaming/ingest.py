@@ -17,35 +17,41 @@ from doclattice.sources import convert
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _known(spark: SparkSession, out: str) -> DataFrame | None:
+def _known(spark: SparkSession, out: str, batch: int) -> DataFrame | None:
+    """What other batches have finished; a batch that is run again doesn't know its own first run."""
     try:
-        return spark.read.parquet(f"{out}/manifest").select("path", "sha256", "version")
+        return spark.read.parquet(f"{out}/manifest").where(F.col("batch") != batch).select("path", "sha256", "version")
     except AnalysisException:
         return None
 
 
-def write_batch(files: DataFrame, batch: int, out: str, limits: Limits = Limits()) -> None:
+def version(limits: Limits, encoding: str | None) -> str:
+    """The converter with its options: results of other options are not reused."""
+    return f"{convert.CONVERTER} {limits} {encoding or 'detected'}"
+
+
+def write_batch(files: DataFrame, batch: int, out: str, limits: Limits = Limits(), encoding: str | None = None) -> None:
     """Converts the files of one batch that the manifest doesn't hold, and adds them to it."""
     spark = files.sparkSession
-    new = files.withColumn("sha256", F.sha2("content", 256)).withColumn("version", F.lit(convert.CONVERTER))
-    known = _known(spark, out)
+    new = files.withColumn("sha256", F.sha2("content", 256)).withColumn("version", F.lit(version(limits, encoding)))
+    known = _known(spark, out, batch)
     if known is not None:
         new = new.join(known, ["path", "sha256", "version"], "left_anti")
-    results = convert.convert(new.select("path", "content"), limits)
+    results = convert.convert(new.select("path", "content"), limits, encoding)
     results.join(new.select("path", "sha256", "version"), "path").write.mode("overwrite").parquet(f"{out}/results/batch={batch}")
     done = spark.read.parquet(f"{out}/results/batch={batch}").where("status <> 'failed'")
     done.select("path", "sha256", "version", "status").write.mode("overwrite").parquet(f"{out}/manifest/batch={batch}")
 
 
-def ingest(spark: SparkSession, folder: str, out: str, limits: Limits = Limits()):
+def ingest(spark: SparkSession, folder: str, out: str, limits: Limits = Limits(), encoding: str | None = None, recursive: bool = True):
     """Starts the stream over a folder; it ends when all files present are done.
 
     Files that can't be converted by suffix or size get their rows in ``refused``, as the folder now is.
     """
-    convert.refused(spark, folder, True, limits).write.mode("overwrite").parquet(f"{out}/refused")
-    stream = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true").load(folder)
+    convert.refused(spark, folder, recursive, limits).write.mode("overwrite").parquet(f"{out}/refused")
+    stream = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     own = stream.where(convert.extension(F.col("path")).isin(*convert.SUPPORTED) & (F.col("length") <= limits.file_bytes)).select("path", "content")
-    return own.writeStream.foreachBatch(lambda df, k: write_batch(df, k, out, limits)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    return own.writeStream.foreachBatch(lambda df, k: write_batch(df, k, out, limits, encoding)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
 
 
 def outcome(spark: SparkSession, out: str) -> DataFrame:
@@ -55,6 +61,9 @@ def outcome(spark: SparkSession, out: str) -> DataFrame:
         results = spark.read.parquet(f"{out}/results")
     except AnalysisException:  # no file was convertible
         return refused
+    # a file that came again in other bytes or under other options has a row in each of its batches: the last one holds
+    last = results.groupBy(F.col("path").alias("_path")).agg(F.max("batch").alias("_batch"))
+    results = results.join(last, (F.col("path") == F.col("_path")) & (F.col("batch") == F.col("_batch")))
     return results.select(refused.columns).join(refused, "path", "left_anti").unionByName(refused)
 
 

@@ -177,3 +177,63 @@ def test_cells_of_delimited_files_are_counted(spark):
     from doclattice.operators import verify
 
     assert [(r.text, r.lost) for r in verify.shortfall(convert.evidence(df.where("path = '/c.csv'")), out, "path", "text").collect()] == [(" 1 |", 1)]
+
+
+def test_a_batch_that_runs_again_keeps_its_rows(spark, tmp_path):
+    from doclattice.streaming import ingest
+
+    df = spark.createDataFrame([("/in/a.txt", "가나다".encode()), ("/in/b.txt", "라".encode())], "path string, content binary")
+    for _ in range(2):
+        ingest.write_batch(df, 0, str(tmp_path))
+        assert spark.read.parquet(f"{tmp_path}/results").count() == 2
+    ingest.write_batch(df, 1, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/results").count() == 2
+    ingest.write_batch(df, 2, str(tmp_path), encoding="utf-8")  # other options, other results
+    assert spark.read.parquet(f"{tmp_path}/results").count() == 4
+
+
+def test_shared_formulas_move():
+    from doclattice.sources.xlsx import shifted
+
+    assert shifted('SUM(A1:B$2)*$C3&"A1"+\'A1 b\'!D4+LOG10(5)', 2, 1) == 'SUM(B3:C$2)*$C5&"A1"+\'A1 b\'!E6+LOG10(5)'
+    assert shifted("A1", -1, 0) == "#REF!"
+
+
+def _program(pairs, names=()):
+    """A font program with a character map of segments, one a glyph, and glyph names."""
+    import struct
+
+    pairs = sorted(pairs)
+    n = len(pairs) + 1
+    cols = [*(c for c, _ in pairs), 0xFFFF], [*(c for c, _ in pairs), 0xFFFF], [*((g - c) & 0xFFFF for c, g in pairs), 1], [0] * n
+    sub = struct.pack(">HHHHHHH", 4, 16 + 8 * n, 0, 2 * n, 0, 0, 0) + struct.pack(f">{n}H", *cols[0]) + b"\0\0" + b"".join(struct.pack(f">{n}H", *c) for c in cols[1:])
+    post = struct.pack(">L28x", 0x20000) + struct.pack(f">H{len(names)}H", len(names), *(258 + k for k in range(len(names)))) + b"".join(bytes([len(x)]) + x.encode() for x in names)
+    parts = {b"cmap": struct.pack(">HHHHL", 0, 1, 3, 1, 12) + sub, b"maxp": struct.pack(">LH", 0x10000, 40), b"post": post}
+    out, at = struct.pack(">LHHHH", 0x10000, len(parts), 0, 0, 0), 12 + 16 * len(parts)
+    for tag, data in parts.items():
+        out += struct.pack(">4sLLL", tag, 0, at, len(data))
+        at += len(data)
+    return out + b"".join(parts.values())
+
+
+def test_embedded_programs_tell_characters():
+    from doclattice.sources import pdf, truetype
+
+    got = truetype.characters(_program([(0xAC00, 5), (0x41, 6)], [".notdef", "B", "endash", "uni4E00", "strange"]), pdf._glyph)
+    assert got == {5: "가", 6: "A", 1: "B", 2: "–", 3: "一"}
+    for broken in (b"", b"\0" * 40, _program([(0x41, 1)])[:70]):
+        assert truetype.characters(broken, pdf._glyph) == {}
+
+
+def test_streams_beyond_their_bound_are_refused():
+    import zlib
+
+    import pytest
+
+    from doclattice.sources import hwp
+
+    c = zlib.compressobj(wbits=-15)
+    packed = c.compress(b"x" * 10_000) + c.flush()
+    assert hwp.inflated(packed, 10_000) == b"x" * 10_000
+    with pytest.raises(ValueError):
+        hwp.inflated(packed, 9_999)
