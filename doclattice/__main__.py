@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import re
 import sys
 
@@ -32,19 +33,21 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     limits = Limits(cells=a.max_cells)
     if a.reuse:
-        ingest.ingest(spark, a.input, a.out, limits).awaitTermination()
-        results = ingest.outcome(spark, a.out)
+        ingest.ingest(spark, a.input, a.out, limits, a.encoding, a.recursive).awaitTermination()
+        results, assets = ingest.outcome(spark, a.out), None
     else:
-        converted = convert.convert(convert.read(spark, a.input, a.recursive, limits), limits, a.encoding)
+        files = convert.read(spark, a.input, a.recursive, limits)
+        elements = cut(convert.extract(files, limits, a.encoding))
+        converted, assets = convert.judged(files, elements, limits, a.encoding), convert.assets(elements)
         results = cut(converted.unionByName(convert.refused(spark, a.input, a.recursive, limits)))
         convert.write(results, f"{a.out}/table")
     if a.split_chars:
         from pyspark.sql import functions as F
 
         assemble.chunks(results.select(F.xxhash64("path").alias("doc_id"), F.col("markdown").alias("text")), a.split_chars).write.mode("overwrite").parquet(f"{a.out}/chunks")
-    outcome = sinks.export(results, a.out, a.overwrite).groupBy("outcome").count().collect()
-    print(sinks.summary(results))
-    conflict = any(r.outcome == "conflict" for r in outcome)
+    outcome = sinks.export(results, a.out, a.overwrite, os.path.abspath(a.input.removeprefix("file://")), assets).groupBy("outcome").count().collect()
+    print(sinks.write_summary(results, a.out))
+    conflict = any(r.outcome != "written" for r in outcome)
     return int(conflict or results.where("status not in ('success', 'skipped')").limit(1).count() > 0)
 
 
