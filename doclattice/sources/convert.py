@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import replace
@@ -85,6 +86,7 @@ def elements_of(name: str, content: bytes, limits: Limits = Limits(), encoding:
             yield from plain.csv_elements(content, ext, encoding)
         elif ext in PACKAGES:
             yield from PACKAGES[ext](content, limits).elements()
+            yield from (event("unverified", f"둘째 경로가 읽지 않는 크기: {x}", x) for x in oversized(content, limits))
         elif ext == "hwp":
             yield from hwp.Hwp(content, limits).elements()
         elif ext == "pdf":
@@ -102,6 +104,12 @@ def elements_of(name: str, content: bytes, limits: Limits = Limits(), encoding:
         yield event("failed", f"{type(e).__name__}: {e}")
 
 
+def oversized(content: bytes, limits: Limits) -> list[str]:
+    """Parts with text that the second route leaves out for their size."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [i.filename for i in z.infolist() if i.file_size > limits.xml_bytes and (re.search(EVIDENCE_PARTS, i.filename) or i.filename.startswith("xl/") and i.filename.endswith(".xml"))]
+
+
 def extract(files: DataFrame, limits: Limits = Limits(), encoding: str | None = None) -> DataFrame:
     """Rows of ``ELEMENTS`` for (path, content); one narrow stage, one file in memory at a time."""
     limits = replace(limits)
@@ -150,8 +158,6 @@ def parts(files: DataFrame, pattern: str, limits: Limits = Limits()) -> DataFram
     """(path, part, xml): text of the package parts whose names match; read again from the original bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         want = re.compile(pattern)
         for b in batches:
             rows = []
@@ -260,27 +266,6 @@ def convert(files: DataFrame, limits: Limits = Limits(), encoding: str | None =
     return judged(files, cut(extract(files, limits, encoding)), limits, encoding)  # read once, used for text and for events
 
 
-def unread_parts(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(path, part) of package parts with text that the second route could not read: too large or broken."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        want = re.compile(EVIDENCE_PARTS + r"|^xl/(?:worksheets/[^/]+|sharedStrings)\.xml$")
-        for b in batches:
-            rows = []
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(path, i.filename) for i in z.infolist() if want.search(i.filename) and i.file_size > limits.xml_bytes]
-                except Exception as e:  # the whole package
-                    rows.append((path, f"{type(e).__name__}: {e}"))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "part"])
-
-    return files.where(extension(F.col("path")).isin(*PACKAGES)).select("path", "content").mapInArrow(run, "path string, part string")
-
-
 def judged(files: DataFrame, e: DataFrame, limits: Limits = Limits(), encoding: str | None = None) -> DataFrame:
     """The results of files whose elements are at hand: rendered, reconciled with the second route, and given their status."""
     from doclattice.session import cut
@@ -299,7 +284,6 @@ def judged(files: DataFrame, e: DataFrame, limits: Limits = Limits(), encoding:
     lost = verify.report(verify.shortfall(wanted, out.select("path", "markdown"), "path", "text"), "path", "text").drop("samples")
     events = e.where("kind = 'event'").select("path", F.col("attrs")["status"].alias("status"))
     events = events.unionByName(lost.select("path", F.lit("partial").alias("status")))
-    events = events.unionByName(unread_parts(files, limits).select("path", F.lit("unverified").alias("status")))
     proven = wanted.select("path").distinct()
     events = events.unionByName(out.select("path").join(proven, "path", "left_anti").select("path", F.lit("unverified").alias("status")))
     status = verify.worst(events, "path").select("path", "status")

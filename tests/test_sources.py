@@ -237,3 +237,10 @@ def test_streams_beyond_their_bound_are_refused():
     assert hwp.inflated(packed, 10_000) == b"x" * 10_000
     with pytest.raises(ValueError):
         hwp.inflated(packed, 9_999)
+
+
+def test_oversized_parts_are_told():
+    content = fixtures.docx(["가나다"] * 50)
+    told = [e for e in convert.elements_of("/a.docx", content, Limits(xml_bytes=100)) if e.kind == "event"]
+    assert any(e.attrs["status"] in ("unverified", "failed") for e in told)
+    assert convert.oversized(content, Limits(xml_bytes=100)) == ["word/document.xml"] and not convert.oversized(content, Limits())
