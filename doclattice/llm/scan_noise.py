@@ -4,9 +4,10 @@ Word counts come from the insides of all lines of all results; every word is cou
 A rare word is linked to frequent ones that plausible glyph edits lead to: words are brought together
 by a key that no edit changes, and each distinct word is linked once. Skip-gram vectors with negative
 sampling are learned in partitions for a fixed number of context words; against these, every word
-that something is linked to gets its vector from its co-occurrences in all results. A second scan
-takes out the places where a linked word or a broken line may be a flaw; they meet the counts, links
-and vectors in joins, and the link that fits the vectors of the words around best is the correction.
+that something is linked to, and every other word that stands beside a linked one, gets its vector
+from its co-occurrences in all results. A second scan takes out the places where a linked word or a
+broken line may be a flaw; they meet the counts, links and vectors in joins, and the link that fits
+the vectors of all words around best is the correction.
 At last page furniture is removed, cut words are joined and broken lines are reflowed into paragraphs.
 
 To the driver, and to the tasks by broadcast, come the context words, their vectors and filters of a
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from doclattice.llm.confusables import form
 from doclattice.session import cut
 
-#: Number of the most frequent words that are contexts.
+#: Number of the most frequent words whose vectors are trained; all others get theirs from these.
 CONTEXTS = 2_048
 DIMENSIONS, WINDOW, NEGATIVE = 32, 3, 4
 #: Rounds in which the context vectors are trained, passes over the pairs in each, and partitions whose vectors are averaged after it.
@@ -224,28 +225,28 @@ class Places:
     def __init__(self, linked: Words, common: Words, index: dict[str, int]) -> None:
         self.linked, self.common, self.index = linked, common, index
 
-    def of(self, text: str) -> Iterator[tuple[str, int, str, str, str, list[int]]]:
-        """(kind, number, whole word, left, right, contexts): a running line; two ends of lines; the number-th occurrence of a linked word."""
+    def of(self, text: str) -> Iterator[tuple[str, int, str, str, str, list[int], list[str]]]:
+        """(kind, number, whole word, left, right, contexts, other words around): a running line; two ends of lines; the number-th occurrence of a linked word."""
         text = form(text)
         lines = text.split("\n")
         gone = furniture(lines)
         if gone:
-            yield "running_line", 0, "", "", "", []
+            yield "running_line", 0, "", "", "", [], []
         kept = "\n".join(x for k, x in enumerate(lines) if k not in gone and not _HEADING.match(x)) if gone else text
         if _ANY_CUT.search(kept):
             for k, m in enumerate(_CUT.finditer(kept)):
                 a, b = m[1].strip(_EDGE), m[2].strip(_EDGE)
-                yield "cut", k, a + b, a, b, []
+                yield "cut", k, a + b, a, b, [], []
         for k, (a, b) in enumerate(self._soft(kept.split("\n"))):
-            yield "soft", k, a + b, a, b, []
+            yield "soft", k, a + b, a, b, [], []
         times: dict[str, int] = {}
         for words in rows_of(kept):
             for k, word in enumerate(words):
                 if word in self.linked and worth(word):
                     times[word] = times.get(word, -1) + 1
-                    near = [at for w in (*words[max(0, k - WINDOW) : k], *words[k + 1 : k + 1 + WINDOW]) if (at := self.index.get(w)) is not None]
-                    if near or len(words) == 1:
-                        yield "word", times[word], word, "", "", near
+                    around = (*words[max(0, k - WINDOW) : k], *words[k + 1 : k + 1 + WINDOW])
+                    near = [at for w in around if (at := self.index.get(w)) is not None]
+                    yield "word", times[word], word, "", "", near, [w for w in around if w not in self.index]
 
     def _soft(self, lines: list[str]) -> Iterator[tuple[str, str]]:
         """Ends of lines without hyphen that together may be one word."""
@@ -504,6 +505,7 @@ def skip_gram(pairs: DataFrame, index: dict[str, int], seed: int = 11) -> np.nda
 def vector(context: np.ndarray, n: np.ndarray, v: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """The skip-gram vector of one word against the contexts' vectors: the best one, by Newton's method.
 
+    Against the vectors as contexts it is that of a centre, against those as centres that of a context.
     ``noise`` are drawn contexts that stand for the negative samples.
     """
     u = np.zeros(v.shape[1])
@@ -539,6 +541,15 @@ def vectors(pairs: DataFrame, v: np.ndarray, targets: DataFrame) -> DataFrame:
     return each.mapInArrow(run, "w string, vector binary")
 
 
+def centres(pairs: DataFrame, index: dict[str, int], v: np.ndarray) -> np.ndarray:
+    """The vectors of the context words as centres, each the best one against the contexts' vectors."""
+    names = pairs.sparkSession.createDataFrame(pa.table({"w": pa.array(list(index), pa.string())}))
+    u = np.zeros_like(v)
+    for r in vectors(pairs, v, names).collect():
+        u[index[r.w]] = np.frombuffer(r.vector, np.float32)
+    return u
+
+
 def _least(counted: DataFrame) -> int:
     """A count that at least ``CONTEXTS`` words reach, if there are so many, in steps of a quarter power of two."""
     step = F.floor(F.log2("n") * 4).cast("int")
@@ -550,11 +561,12 @@ def _least(counted: DataFrame) -> int:
     return low
 
 
-def best(near: list[int] | None, known: list[dict], v: np.ndarray) -> str | None:
-    """The link that fits the words around; without any the most frequent one. None where no link fits."""
-    if not near:
+def best(near: list[int] | None, far: list[bytes] | None, known: list[dict], v: np.ndarray) -> str | None:
+    """The link that fits the words around: contexts, and vectors of others; without any the most frequent one. None where no link fits."""
+    if not near and not far:
         return max(known, key=lambda r: (r["n"], r["w"]))["w"]
-    around = v[near]
+    # in the order of their bytes, as a sum's last bit depends on it
+    around = np.concatenate([v[near or []], np.frombuffer(b"".join(sorted(far or ())), np.float32).reshape(-1, v.shape[1])])
 
     def fit(r: dict) -> float:
         if r["vector"] is None:  # it stands beside no context
@@ -583,13 +595,13 @@ def places(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = spark.sparkContext.broadcast(Places(words_of(linked), words_of(counted.where(F.col("n") >= SOFT_RATIO / 2)), index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()))
         for b in batches:
             rows = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in shared.value.of(t)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["res_id", "kind", "number", "whole", "left", "right", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["res_id", "kind", "number", "whole", "left", "right", "near", "far"])
 
-    each = cut(texts.mapInArrow(run, "res_id bigint, kind string, number int, whole string, left string, right string, near array<int>"))
+    each = cut(texts.mapInArrow(run, "res_id bigint, kind string, number int, whole string, left string, right string, near array<int>, far array<string>"))
     # what the counts say of two ends of lines: both keys of a place meet them in one join
     ends = each.where("kind in ('cut', 'soft')")
     keys = F.when(F.col("kind") == "cut", F.array("whole", F.concat("left", F.lit("-"), "right"))).otherwise(F.array("whole", "left", "right"))
@@ -597,10 +609,14 @@ def places(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = asked.join(inside, "word", "left").groupBy("res_id", "kind", "number", "whole", "left", "right").agg(*(F.coalesce(F.max(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(3)))
     kind = F.when(F.col("kind") == "cut", F.when((F.col("n0") > 0) | (F.col("n1") == 0), "cut").otherwise("apart")).when(F.col("n0") >= SOFT_RATIO * F.greatest(F.least("n1", "n2").cast("double"), F.lit(0.5)), "soft")
     told = n.select("res_id", kind.alias("kind"), "number", "whole", "left", "right").where("kind is not null")
-    flaws = told.unionByName(each.where("kind = 'running_line'").drop("near"))
+    flaws = told.unionByName(each.where("kind = 'running_line'").drop("near", "far"))
     if not index:
         return flaws, spark.createDataFrame([], "res_id bigint, number int, word string, new string")
-    pairs = cut(co_occurrences(texts, index, words_of(targets, "w")))
+    # every place has a number of its own, as one id may stand for several texts
+    met = cut(each.where("kind = 'word'").select("res_id", "number", F.col("whole").alias("word"), "near", "far").join(linked.select("word"), "word", "left_semi").withColumn("place", F.monotonically_increasing_id()))
+    beside = met.select("place", F.explode("far").alias("w"))
+    others = beside.select("w").distinct()
+    pairs = cut(co_occurrences(texts, index, words_of(targets.unionByName(others), "w")))
     v = skip_gram(pairs, index)
     known = linked.select("word", F.explode("links").alias("x")).select("word", "x.w", "x.n").join(vectors(pairs, v, targets), "w", "left")
     known = known.groupBy("word").agg(F.collect_list(F.struct("w", "n", "vector")).alias("known"))
@@ -608,11 +624,12 @@ def places(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [best(near, k, around.value) for near, k in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            new = [best(*x, around.value) for x in zip(*(c.to_pylist() for c in b.columns[3:]), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new, pa.string())], names=["res_id", "number", "word", "new"])
 
-    met = each.where("kind = 'word'").select("res_id", "number", F.col("whole").alias("word"), "near").join(known, "word")
-    fixes = met.select("res_id", "number", "word", "near", "known").mapInArrow(choose, "res_id bigint, number int, word string, new string").where("new is not null")
+    far = beside.join(vectors(pairs, centres(pairs, index, v), others), "w").groupBy("place").agg(F.collect_list("vector").alias("far"))
+    full = met.drop("far").join(far, "place", "left").join(known, "word")
+    fixes = full.select("res_id", "number", "word", "near", "far", "known").mapInArrow(choose, "res_id bigint, number int, word string, new string").where("new is not null")
     return flaws, fixes
 
 

@@ -159,6 +159,17 @@ def test_context_alone_decides(spark):
     assert {r.res_id: r.new for r in scan_noise.places(df)[1].collect()} == {50: "누가리", 51: "누거리"}
 
 
+def test_words_that_are_no_contexts_count(spark, monkeypatch):
+    """A misread word all of whose neighbours are rarer than the context words is corrected all the same, by their own contexts."""
+    monkeypatch.setattr(scan_noise, "CONTEXTS", 4)
+    a, b = "끝 주민대표 누가리 안내판을 끝", "끝 환자가족 누거리 처방전을 끝"
+    lines = [f"끝 {x} {w} {y} 끝" for x, y, ws in (("회의실에서", "고쳤다", a), ("약국에서", "받았다", b)) for w in ws.split()[1:4] for _ in range(20)]
+    rows = [(k, "\n\n".join([*lines, a, b]), 0) for k in range(10)] + [(50, a.replace("누가리", "누기리"), 0), (51, b.replace("누거리", "누기리"), 0), (52, "끝나는줄 누기리 없던말", 0)]
+    df = spark.createDataFrame(rows, "res_id bigint, markdown string, flaw int")
+    got = {r.res_id: r.new for r in scan_noise.places(df)[1].collect()}
+    assert got.keys() == {50, 51, 52} and (got[50], got[51]) == ("누가리", "누거리")
+
+
 def test_filter_misses_no_word(spark):
     words = ["가나다", "abc", "", "a" * 300, "“”", "𝒳"]
     got = scan_noise.words_of(spark.createDataFrame([(w,) for w in words], "word string"))
