@@ -1,8 +1,10 @@
 """Garbled text from wrong character encoding: find it, name the encoding chain, restore it.
 
-A multinomial classifier on hashed byte bigrams learns from clean lines of the table itself, which
-are garbled on purpose by every chain of ``CHAINS``; its class of genuine text is made of names in
-many languages from the JVM's locale data and of words with look-alike letters. Per line, the words
+A multinomial classifier on hashed byte bigrams learns from all clean lines of the table itself, the
+words of which are counted, and each distinct one is garbled on purpose by every chain of ``CHAINS``,
+in partitions; its class of genuine text is made of names in many languages from the JVM's locale
+data and of words with look-alike letters. The counts are scaled to those of ``WEIGHT_LINES`` lines,
+so that names and smoothing weigh the same at every size of the table. Per line, the words
 that hold unusual characters are classified; the predicted chain is inverted and counts as verified
 if every byte is strictly decodable and the outcome is likely text of the corpus. Text with lost
 bytes can't be inverted: it counts where the classifier is sure and replacement or control
@@ -25,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Clean results from which the classifier learns: a bounded sample, the same at every size of the table.
-TRAIN_RESULTS = 300
-TRAIN_LINES = 600
-#: Characters that one text of the sample gives.
+#: Lines that all clean lines of a larger table weigh as much as, against the names and the smoothing.
+WEIGHT_LINES = 600
+#: Characters that one text of ``clean_sample`` gives.
 MOST_CHARS = 20_000
 BUCKETS = 1 << 14
 #: Mean log probability of a restored character from which it is likely text of the corpus.
@@ -221,24 +222,63 @@ def _genuine(spark: SparkSession) -> list[str]:
 _DISGUISE = str.maketrans("aeopcxyisjABEKMHOPCTX", "аеорсхуіѕјАВЕКМНОРСТХ")
 
 
-def train(lines: list[str], names: list[str]) -> Model:
-    """The classifier from clean lines and genuine foreign names."""
-    counts = np.zeros((BUCKETS, len(CHAINS) + 1))
+def _weighed(texts: list[str], n: np.ndarray, out: np.ndarray) -> None:
+    """Adds the bigrams of texts, each ``n`` times, to the counts; a blank stands around each, as between the words of a line."""
+    sizes = np.array([len(t.encode("utf-8", "replace")) + 1 for t in texts], np.int64)
+    if len(texts):
+        # the bigram that ends a text's blank belongs to the next text, whose first byte it holds
+        out += np.bincount(bigrams(" " + " ".join(texts) + " ")[: sizes.sum()], np.repeat(n, sizes), BUCKETS)
+
+
+def garbled_words(words: list[str], chain: tuple[tuple[str, str], ...]) -> list[str]:
+    """Each word garbled; all at once where the ends of lines between them outlast the chain."""
+    end = garble("\n", chain)
+    out = garble("\n".join(words), chain).split(end)
+    if len(out) != len(words):
+        return [garble(w, chain) for w in words]
+    return out
+
+
+def counted(words: list[str], n: Iterable[int]) -> np.ndarray:
+    """Bigram counts of words that each occur ``n`` times: as garbled by each chain, and at last disguised.
+
+    As in a line, a garbled word counts only if unusual characters are in it.
+    """
+    out = np.zeros((len(CHAINS) + 1, BUCKETS))
+    times = np.asarray(n, np.float64)
+    for k, chain in enumerate((*CHAINS, None)):
+        texts = [w.translate(_DISGUISE) for w in words] if chain is None else garbled_words(words, chain)
+        odd = [j for j, t in enumerate(texts) if _ODD.search(t)]
+        _weighed([texts[j] for j in odd], times[odd], out[k])
+    return out
+
+
+def model(counts: np.ndarray, chars: dict[str, float], n_lines: int, n_ascii: int, names: list[str]) -> Model:
+    """The classifier from the bigram counts and characters of all clean lines, and genuine foreign names."""
     foreign = [n for n in names if _ODD.search(n)]
-    clean = [*foreign, *(" ".join(foreign[k : k + 4]) for k in range(0, len(foreign), 3))]
-    clean += [w for x in lines[::3] for w in (odd_words(x.translate(_DISGUISE)),) if w]
-    for x in clean:
-        counts[:, -1] += np.bincount(bigrams(x), minlength=BUCKETS)
-    mixed = [x if not x.isascii() else x + " " + foreign[k % len(foreign)] + "’s “" + foreign[-k % len(foreign)] + "” — €4" for k, x in enumerate(lines)] if foreign else lines
+    scale = min(1.0, WEIGHT_LINES / max(n_lines, 1))
+    out = counts.T * scale
+    out[:, -1] /= 3  # disguised words are a third as many as lines
+    for x in [*foreign, *(" ".join(foreign[k : k + 4]) for k in range(0, len(foreign), 3))]:
+        out[:, -1] += np.bincount(bigrams(x), minlength=BUCKETS)
+    # lines of plain characters look the same garbled; they count with a name and signs after them
+    signs = [f"{x}’s “{foreign[-k % len(foreign)]}” — €4" for k, x in enumerate(foreign)]
     for k, chain in enumerate(CHAINS):
-        for x in mixed:
+        for x in signs if n_ascii else ():
             bad = garble(x, chain)
-            ids = bigrams(odd_words(bad) or bad)
-            counts[:, k] += np.bincount(ids, minlength=BUCKETS)
-    weights = np.log(counts + 0.05) - np.log((counts + 0.05).sum(axis=0))
-    chars = Counter(c for x in lines for c in x if c > "\x7f") + Counter(c for x in foreign for c in x if "\xa0" < c < "ɐ") + Counter("’“”—–…€·" * 3)
-    total = sum(chars.values()) or 1
-    return Model(weights.astype(np.float32), {c: math.log(n / total) for c, n in chars.items()}, math.log(0.02 / total))
+            out[:, k] += np.bincount(bigrams(odd_words(bad) or bad), minlength=BUCKETS) * (n_ascii * scale / len(signs))
+    weights = np.log(out + 0.05) - np.log((out + 0.05).sum(axis=0))
+    own = Counter({c: n * scale for c, n in chars.items()}) + Counter(c for x in foreign for c in x if "\xa0" < c < "ɐ") + Counter("’“”—–…€·" * 3)
+    total = sum(own.values()) or 1
+    rare = 0.02  # a character never seen
+    return Model(weights.astype(np.float32), {c: math.log(max(n, rare) / total) for c, n in own.items()}, math.log(rare / total))
+
+
+def train(lines: list[str], names: list[str]) -> Model:
+    """The classifier from clean lines and genuine foreign names."""
+    words = Counter(w for x in lines for w in re.split("[ \t\r]+", x) if w)
+    chars = Counter(c for x in lines for c in x if c > "\x7f")
+    return model(counted(list(words), [*words.values()]), chars, len(lines), sum(x.isascii() for x in lines), names)
 
 
 def clean_sample(results: DataFrame, n: int) -> list[str]:
@@ -255,10 +295,32 @@ def clean_sample(results: DataFrame, n: int) -> list[str]:
 
 
 def learn(results: DataFrame) -> Model:
-    """Trains on a bounded sample of clean texts."""
-    lines = [x for t in clean_sample(results, TRAIN_RESULTS) for x in t.split("\n") if len(x) > 3]
-    step = max(1, len(lines) // TRAIN_LINES)
-    return train(lines[::step][:TRAIN_LINES], _genuine(results.sparkSession))
+    """Trains on all clean texts: words are counted in the JVM, each distinct one is garbled once; sums of a fixed number of counts reach the driver."""
+    texts = results.where(F.col("markdown").rlike(f"^[{_USUAL}]+$"))
+    lines = texts.select(F.explode(F.split("markdown", "\n")).alias("x")).where(F.length("x") > 3)
+    words = lines.select((~F.col("x").rlike(r"[^\x00-\x7f]")).cast("bigint").alias("plain"), F.posexplode(F.split("x", r"[ \t\r]+")).alias("k", "w"))
+    first = (F.col("k") == 0).cast("bigint")
+    each = words.groupBy("w").agg(F.count("*").alias("n"), F.sum(first).alias("lines"), F.sum(first * F.col("plain")).alias("plain"))
+    # places of the sums: bigram counts, then all lines, plain lines, and characters by their codes
+    size = (len(CHAINS) + 1) * BUCKETS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size + 2 + 0x110000)
+        for b in batches:
+            own, n = b.column(0).to_pylist(), b.column(1).to_numpy()
+            out[:size] += counted(own, n).ravel()
+            out[size] += b.column(2).to_numpy().sum()
+            out[size + 1] += b.column(3).to_numpy().sum()
+            codes = np.frombuffer("".join(own).encode("utf-32-le", "replace"), np.uint32)
+            out[size + 2 :] += np.bincount(codes, np.repeat(n, [len(w) for w in own]), 0x110000)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at].astype(np.int64))], names=["at", "n"])
+
+    sums = each.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 2 + 0x110000)
+    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    chars = {chr(c): out[size + 2 + c] for c in np.flatnonzero(out[size + 2 :]) if c > 0x7F}
+    return model(out[:size].reshape(-1, BUCKETS), chars, int(out[size]), int(out[size + 1]), _genuine(results.sparkSession))
 
 
 def _apply(results: DataFrame, run, schema: str) -> DataFrame:

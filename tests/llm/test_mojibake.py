@@ -57,3 +57,22 @@ def test_frames(spark):
     assert got == [(100, "markdown")] * 2 + [(100, "warnings")] * 2
     assert {r.restored for r in m.repaired(df).where("field_name = 'markdown'").collect()} == {LINES[0]}
     assert m.found(df.limit(0)).count() == 0
+
+
+def test_all_clean_texts_count(spark):
+    """The model in partitions is the model of all lines at once, whatever their number and length."""
+    long = "\n".join(f"{k}번 서류는 창고{k}에 두었다\t끝" for k in range(3_000))
+    texts = [*LINES * 15, long, "한다" * 15_000 + " 뷁쒧", "짧\nab", "Тест " + LINES[0]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*texts, None, ""])], "res_id bigint, markdown string").repartition(5)
+    got = m.learn(df)
+    lines = [x for t in texts if m.re.fullmatch(f"[{m._USUAL}]+", t) for x in t.split("\n") if len(x) > 3]
+    want = m.train(lines, m._genuine(spark))
+    assert len(lines) > 3_000 and "뷁" in got.chars and "쒧" in got.chars
+    assert got.chars.keys() == want.chars.keys() and all(abs(x - want.chars[c]) < 1e-9 for c, x in got.chars.items())
+    assert abs(got.weights - want.weights).max() < 1e-5 and got.floor == pytest.approx(want.floor)
+
+
+def test_words_are_garbled_as_alone():
+    words = ["예산", "담당자는", "a가b", "cafe", "“끝”", "㈜한국", "x" * 300, "éa"]
+    for chain in m.CHAINS:
+        assert m.garbled_words(words, chain) == [m.garble(w, chain) for w in words], chain
