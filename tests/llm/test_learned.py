@@ -110,6 +110,22 @@ def test_lcs_against_brute_force():
         assert leakage.lcs(a, b) == slow(a, b)
 
 
+def test_all_judged_documents_count(spark):
+    """Counts in partitions are those of all judged sentences, of as many documents as there are; a text's surprisal doesn't depend on the one before."""
+    docs = [(k, f"{(EASY, HARD)[k % 2]()} {(EASY, HARD)[k % 2]()}") for k in range(2_500)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
+    lab = spark.createDataFrame([(k, (1, 4)[k % 2], "r") for k, _ in docs], "doc_id bigint, reading_level int, rater string")
+    rows = readability.judgements(d, lab)
+    assert rows.count() == 2_500
+    got = readability._sums(rows, np.array([1, 4]), None)
+    flat, level = zip(*[(s, float((1, 4)[k % 2])) for k, t in docs for s in readability.sentences(t)], strict=True)
+    want = readability.counted(list(flat), readability._given(np.array(level), np.array([1, 4])))
+    assert np.array_equal(got[0], want) and np.array_equal(got[1:].sum(axis=0), want * (readability.FOLDS - 1))
+    m = readability.learn(d, lab)
+    bits, _ = m.surprisal(list(flat[:50]))
+    assert all(np.allclose(bits[k], m.surprisal([flat[k]])[0][0], rtol=1e-4) for k in range(50))
+
+
 # ------------------------------------------------------------------ scan noise
 def test_scan_noise(spark):
     pages = [(k, "# 문서.pdf\n\n" + " ".join(PLAIN() for _ in range(10)), 0) for k in range(120)]
