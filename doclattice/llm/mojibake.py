@@ -294,10 +294,14 @@ def clean_sample(results: DataFrame, n: int) -> list[str]:
     return [r.markdown for r in clean.orderBy("h").limit(n).collect()]
 
 
+def clean(results: DataFrame) -> DataFrame:
+    """All texts without unusual characters."""
+    return results.where(F.col("markdown").rlike(f"^[{_USUAL}]+$")).select("markdown")
+
+
 def learn(results: DataFrame) -> Model:
     """Trains on all clean texts: words are counted in the JVM, each distinct one is garbled once; sums of a fixed number of counts reach the driver."""
-    texts = results.where(F.col("markdown").rlike(f"^[{_USUAL}]+$"))
-    lines = texts.select(F.explode(F.split("markdown", "\n")).alias("x")).where(F.length("x") > 3)
+    lines = clean(results).select(F.explode(F.split("markdown", "\n")).alias("x")).where(F.length("x") > 3)
     words = lines.select((~F.col("x").rlike(r"[^\x00-\x7f]")).cast("bigint").alias("plain"), F.posexplode(F.split("x", r"[ \t\r]+")).alias("k", "w"))
     first = (F.col("k") == 0).cast("bigint")
     each = words.groupBy("w").agg(F.count("*").alias("n"), F.sum(first).alias("lines"), F.sum(first * F.col("plain")).alias("plain"))

@@ -21,18 +21,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclattice.llm import mojibake
 from doclattice.llm.confusables import form
 from doclattice.llm.readability import sentences
 
-#: Results from which words and sentences for the labelled documents are taken: the lowest hashes.
+#: Results from which sentences for the labelled documents are taken: the lowest hashes.
 SAMPLE_RESULTS = 500
 LABELLED = 3_000
-#: Syllables that count as common: the most frequent ones of the sample.
+#: Syllables that count as common: the most frequent ones of all clean texts.
 COMMON_SYLLABLES = 450
+#: Words from which phrases are made: the most frequent ones of all clean texts.
+COMMON_WORDS = 600
 KINDS = ("table", "list", "junk")
 
 # English function words and Korean endings that mark natural prose.
@@ -313,14 +315,40 @@ def _meant(results: DataFrame) -> DataFrame:
     return results.select("res_id", "markdown").mapInArrow(run, "res_id bigint, markdown string")
 
 
+def common_words(results: DataFrame) -> tuple[list[str], str]:
+    """(most frequent words, most frequent syllables) of the sentences of all clean texts."""
+    ending = re.compile("(?:" + ENDINGS.replace(" ", "|") + ")$")
+    stop_words = set(STOPWORDS.split())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = Counter(w for t in b.column(0).to_pylist() for s in sentences(t) for w in s.split())
+            words: Counter[str] = Counter()
+            syllables: Counter[str] = Counter()
+            for w, n in raw.items():
+                for c in w:
+                    if "가" <= c <= "힣":
+                        syllables[c] += n
+                w = w.strip(".,()\"'")
+                if w not in stop_words:
+                    words[ending.sub("", w) if len(w) > 2 else w] += n
+            both = [("word", x, n) for x, n in words.items()] + [("syllable", x, n) for x, n in syllables.items()]
+            if both:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*both, strict=True)], names=["kind", "x", "n"])
+
+    counts = mojibake.clean(results).mapInArrow(run, "kind string, x string, n bigint").groupBy("kind", "x").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "x"))
+    top = counts.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == "word", COMMON_WORDS).otherwise(COMMON_SYLLABLES)).collect()
+    words = sorted(r.x for r in top if r.kind == "word" and len(r.x) > 1 and not r.x[0].isdigit())
+    return words, "".join(sorted(r.x for r in top if r.kind == "syllable"))
+
+
 def learn(results: DataFrame) -> tuple[list[Rule], str]:
-    """(rules, common syllables) from a bounded sample."""
+    """(rules, common syllables): words and syllables of all clean texts, sentences of a bounded sample."""
     texts = mojibake.clean_sample(results, SAMPLE_RESULTS)
     prose = sorted({s for t in texts for s in sentences(t)}) or ["문장이 없습니다.", "There is no sentence here."]
-    count = Counter(w.strip(".,()\"'") for s in prose for w in s.split())
-    bare = Counter({(re.sub("(?:" + ENDINGS.replace(" ", "|") + ")$", "", w) if len(w) > 2 else w): n for w, n in count.items() if w not in STOPWORDS.split()})
-    words = sorted(w for w, _ in bare.most_common(600) if len(w) > 1 and not w[0].isdigit()) or ["낱말", "word"]
-    common = "".join(sorted(c for c, _ in Counter(c for s in prose for c in s if "가" <= c <= "힣").most_common(COMMON_SYLLABLES)))
+    words, common = common_words(results)
+    words = words or ["낱말", "word"]
     docs = compose(prose, words, LABELLED)
     frame = results.sparkSession.createDataFrame([(t, k) for t, k in docs], "markdown string, kind string")
     got = statistics(frame, "markdown", common).select("kind", *TESTED).toPandas()

@@ -227,6 +227,13 @@ def test_kinds(spark):
     assert quality.found(df.limit(0)).count() == 0
 
 
+def test_words_of_all_clean_texts_count(spark):
+    """Words and syllables that most of many texts hold rarely, and a few hold often, are as common as they are in all."""
+    rows = [(k, " ".join(PLAIN() for _ in range(3))) for k in range(1_500)] + [(2_000, " ".join("뷁뷁 담당자는 옥상에서 뷁뷁 신청서를 받아 주시기 바랍니다." for _ in range(2_000))), (2_001, None), (2_002, "")]
+    words, common = quality.common_words(spark.createDataFrame(rows, "res_id bigint, markdown string").repartition(5))
+    assert "뷁뷁" in words and "뷁" in common and "담당자" in words and "신청서" in words
+
+
 def test_rules_on_held_out():
     rng = np.random.default_rng(1)
     x = rng.random((900, len(quality.TESTED)))
