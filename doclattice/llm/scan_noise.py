@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ SOFT_RATIO = 50
 MOST_EDITS = 3
 #: Mean log odds of a context below which a correction is refused.
 CONTEXT = -3.5
+#: Contexts of words that are solved side by side: places for them, those that are left empty too.
+MOST_SOLVED = 8_192
 #: Bits of a filter of words.
 FILTER_BITS = 1 << 24
 
@@ -77,7 +80,16 @@ _PAGE_TAIL = re.compile(rf"(?:^\s*{_NUMBER}\s+|\s*[-—–|·/\[(]*\s*{_NUMBER}\
 _LISTED = re.compile(r"^\s*(?:[|│┌├└+#>]|[-*•○●·□■]\s|[(]?(?:[0-9]{1,3}|[가-하]|[a-z])[.)]\s|[①-⓿]|```)")
 _ENDS = re.compile(r"[.!?。][\"'”’)\]]*$")
 _HEADING = re.compile(r"^(?:# .*|[-] (?:원본 형식|변환기): .*|## 페이지 [0-9]+|### [0-9]+쪽 OCR 결과.*|```.*)$")
+#: What every heading begins with.
+_HEADS = "#-`"
 _WORDS = re.compile(r"\S+")
+#: Blanks that part words for Python's ``split``, beside space and line end; words are parted at those of ``_BLANKS`` alone.
+_OTHER_BLANK = re.compile(r"[^\S \n]")
+_BLANKS = re.compile("[ \t\v\f\r]+")
+#: Texts with words that only joining or the consistent form brings about hold one of these.
+_FORMED = re.compile("[-¬] ?\n|[^\t\n\x20-\x7e가-힣]")
+_GAPS = re.compile(r"\S {2,}\S.* {2,}\S|\.{5,}")
+_SENTENCE_END = re.compile(r"[.!?](?: |$)")
 
 
 def _similar(ch: str) -> list[str]:
@@ -177,6 +189,28 @@ def _steps(word: str, true: str, edits: list[tuple[int, int, str]], most: int) -
     return best if 0 < best <= most else 0
 
 
+class Kept(dict):
+    """What a function gives for each argument, kept for so many at a time; what is kept is looked up without a call."""
+
+    def __init__(self, of: Callable, most: int = 200_000) -> None:
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, x):
+        if len(self) >= self.most:
+            self.clear()
+        got = self[x] = self.of(x)
+        return got
+
+
+def _bare(word: str) -> str:
+    """A word without the signs around it; signs of a table's frame are none."""
+    return "" if word in ("|", "│") else word.strip(_EDGE)
+
+
+_BARE = Kept(_bare)
+
+
 class Words:
     """A filter of words: of those that were put in none is missed, of others a few pass."""
 
@@ -224,6 +258,10 @@ class Places:
 
     def __init__(self, linked: Words, common: Words, index: dict[str, int]) -> None:
         self.linked, self.common, self.index = linked, common, index
+        self.asked = Kept(lambda w: w in linked and worth(w))
+
+    def __reduce__(self):
+        return Places, (self.linked, self.common, self.index)
 
     def of(self, text: str) -> Iterator[tuple[str, int, str, str, str, list[int], list[str]]]:
         """(kind, number, whole word, left, right, contexts, other words around): a running line; two ends of lines; the number-th occurrence of a linked word."""
@@ -232,7 +270,7 @@ class Places:
         gone = furniture(lines)
         if gone:
             yield "running_line", 0, "", "", "", [], []
-        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone and not _HEADING.match(x)) if gone else text
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone and not _heading(x)) if gone else text
         if _ANY_CUT.search(kept):
             for k, m in enumerate(_CUT.finditer(kept)):
                 a, b = m[1].strip(_EDGE), m[2].strip(_EDGE)
@@ -240,13 +278,14 @@ class Places:
         for k, (a, b) in enumerate(self._soft(kept.split("\n"))):
             yield "soft", k, a + b, a, b, [], []
         times: dict[str, int] = {}
+        asked = self.asked
         for words in rows_of(kept):
-            for k, word in enumerate(words):
-                if word in self.linked and worth(word):
-                    times[word] = times.get(word, -1) + 1
-                    around = (*words[max(0, k - WINDOW) : k], *words[k + 1 : k + 1 + WINDOW])
-                    near = [at for w in around if (at := self.index.get(w)) is not None]
-                    yield "word", times[word], word, "", "", near, [w for w in around if w not in self.index]
+            for k in [k for k, w in enumerate(words) if asked[w]]:
+                word = words[k]
+                times[word] = times.get(word, -1) + 1
+                around = (*words[max(0, k - WINDOW) : k], *words[k + 1 : k + 1 + WINDOW])
+                near = [at for w in around if (at := self.index.get(w)) is not None]
+                yield "word", times[word], word, "", "", near, [w for w in around if w not in self.index]
 
     def _soft(self, lines: list[str]) -> Iterator[tuple[str, str]]:
         """Ends of lines without hyphen that together may be one word."""
@@ -257,6 +296,10 @@ class Places:
                     yield left, right
 
 
+def _heading(line: str) -> bool:
+    return line[:1] in _HEADS and _HEADING.match(line) is not None
+
+
 def joined(text: str, apart: frozenset[tuple[str, str]] = frozenset()) -> str:
     """The text with its hyphenated ends of lines joined, but for those that stay apart."""
     if not _ANY_CUT.search(text):
@@ -267,17 +310,18 @@ def joined(text: str, apart: frozenset[tuple[str, str]] = frozenset()) -> str:
 def rows_of(text: str) -> Iterator[list[str]]:
     """Words of each paragraph, cut words joined."""
     for block in joined(text).split("\n\n"):
-        words = [w.strip(_EDGE) for line in block.split("\n") if not _HEADING.match(line) for w in line.split() if w not in ("|", "│")]
+        words = [w for line in block.split("\n") if not _heading(line) for w in map(_BARE.__getitem__, line.split()) if w]
         if words:
-            yield [w for w in words if w]
+            yield words
 
 
 def furniture(lines: list[str]) -> set[int]:
     """Positions of page numbers and of page headers that come back, in running text."""
-    body = [k for k, x in enumerate(lines) if x.strip() and not _HEADING.match(x)]
-    listed = sum(1 for k in body if _LISTED.match(lines[k]) or "\t" in lines[k] or re.search(r"\S {2,}\S.* {2,}\S|\.{5,}", lines[k]))
-    ends = sum(1 for k in body if re.search(r"[.!?](?: |$)", lines[k]))
-    if not ends or listed > 0.5 * len(body):
+    body = [k for k, x in enumerate(lines) if x.strip() and not _heading(x)]
+    if not any(_SENTENCE_END.search(lines[k]) for k in body):
+        return set()
+    listed = sum(1 for k in body if "\t" in (x := lines[k]) or _LISTED.match(x) or ("  " in x or "....." in x) and _GAPS.search(x))
+    if listed > 0.5 * len(body):
         return set()
     out = {k for k in body if _PAGE.match(lines[k])}
     title = next((x for x in lines if x.startswith("# ")), "# ")[2:]
@@ -341,38 +385,47 @@ def repair(text: str, apart: frozenset[tuple[str, str]], soft: frozenset[tuple[s
     return "\n\n".join(blocks)
 
 
-def word_counts(results: DataFrame) -> DataFrame:
-    """(word, n) of every word: n over the insides of all lines, as first and last words of lines may be halves of cut words. JVM only."""
-    lines = results.where("markdown is not null").select(F.explode(F.split("markdown", "\n")).alias("x"))
-    words = lines.select(F.split(F.trim("x"), r"\s+").alias("w")).select(F.size("w").alias("size"), F.posexplode("w").alias("k", "w"))
-    inside = ((F.col("k") > 0) & (F.col("k") < F.col("size") - 1)).cast("bigint")
-    # as they stand first, so that only distinct ones are stripped
-    raw = words.groupBy("w").agg(F.sum(inside).alias("n"))
-    bare = raw.select(F.trim("w", F.lit(_EDGE)).alias("word"), "n")
-    return bare.where(F.col("word").rlike(r"[\p{L}]")).groupBy("word").agg(F.sum("n").alias("n"))
-
+def vocabulary(results: DataFrame) -> DataFrame:
+    """(word, n) of all words: n over the insides of all lines, as first and last words of lines may be halves of cut words.
 
-def formed_words(results: DataFrame) -> DataFrame:
-    """(word, 0) of words that only joining or the consistent form brings about; just the texts that have such pass through Python."""
+    Words that only joining or the consistent form brings about count 0. One scan; words are counted as they stand, so that only distinct ones are stripped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words: set[str] = set()
-            for t in b.column(0).to_pylist():
-                f = form(t)
-                if f != t:
-                    words.update(w for row in rows_of(f) for w in row)
-                else:
-                    words.update(m[1].strip(_EDGE) + m[2].strip(_EDGE) for m in _CUT.finditer(t))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
+        raw: Counter[str] = Counter()
+        ends: set[str] = set()
+        more: set[str] = set()
 
-    some = results.where(F.col("markdown").rlike(r"[-¬] ?\n") | F.col("markdown").rlike("[^\t\n\\x20-\\x7e가-힣]"))
-    return some.select("markdown").mapInArrow(run, "word string").where(F.col("word").rlike(r"[\p{L}]")).select("word", F.lit(0).cast("bigint").alias("n"))
+        def summed() -> pa.RecordBatch:
+            own: Counter[str] = Counter(dict.fromkeys(more, 0) | dict.fromkeys((w.strip(_EDGE) for w in ends), 0))
+            for w, n in raw.items():
+                own[w.strip(_EDGE)] += n
+            return pa.RecordBatch.from_arrays([pa.array([*own], pa.string()), pa.array([*own.values()], pa.int64())], names=["word", "n"])
 
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                other = _OTHER_BLANK.search(t)
+                parted = map(str.split, t.split("\n")) if not other else (_BLANKS.split(x.strip(" ")) for x in t.split("\n"))
+                inside: list[str] = []
+                for words in parted:
+                    inside += words[1:-1]
+                    ends.update(words[:1], words[-1:])
+                raw.update(inside)
+                if _FORMED.search(t):
+                    if (f := form(t)) != t:
+                        # where only blanks at the end are gone, all words but joined ones are counted already
+                        if other or f != t.rstrip(" \n") or _ANY_CUT.search(f):
+                            more.update(*rows_of(f))
+                    else:
+                        more.update(m[1].strip(_EDGE) + m[2].strip(_EDGE) for m in _CUT.finditer(t))
+            if len(raw) + len(ends) + len(more) > 400_000:
+                yield summed()
+                for kept in raw, ends, more:
+                    kept.clear()
+        yield summed()
 
-def vocabulary(results: DataFrame) -> DataFrame:
-    """(word, n) of all words."""
-    return word_counts(results).unionByName(formed_words(results)).groupBy("word").agg(F.sum("n").alias("n"))
+    each = results.where("markdown is not null").select("markdown").mapInArrow(run, "word string, n bigint")
+    return each.where(F.col("word").rlike(r"[\p{L}]")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def links(counted: DataFrame) -> DataFrame:
@@ -410,6 +463,17 @@ def co_occurrences(results: DataFrame, index: dict[str, int], targets: Words) ->
         contexts, wanted = shared.value
         names = list(contexts)
         at: dict[str, int] = dict(contexts)
+
+        def number(word: str) -> int:
+            w = word.strip(_EDGE)
+            got = at.get(w)
+            if got is None:
+                got = at[w] = len(names) if w in wanted else -1
+                if got >= 0:
+                    names.append(w)
+            return got
+
+        numbers = Kept(number, 1 << 62)
         fresh: list[np.ndarray] = []
 
         def summed() -> pa.RecordBatch:
@@ -420,17 +484,7 @@ def co_occurrences(results: DataFrame, index: dict[str, int], targets: Words) ->
         for b in batches:
             ids: list[int] = []
             for t in b.column(0).to_pylist():
-                for w in t.split():
-                    w = w.strip(_EDGE)
-                    got = at.get(w)
-                    if got is None:
-                        if w in wanted:
-                            got = len(names)
-                            names.append(w)
-                        else:
-                            got = -1
-                        at[w] = got
-                    ids.append(got)
+                ids += map(numbers.__getitem__, t.split())
                 ids += [-1] * WINDOW
             x = np.array(ids, np.int64)
             for d in range(1, WINDOW + 1):
@@ -438,9 +492,10 @@ def co_occurrences(results: DataFrame, index: dict[str, int], targets: Words) ->
                 for centre, around in ((a, c), (c, a)):
                     ok = (centre >= 0) & (around >= 0) & (around < k)
                     fresh.append(centre[ok] * k + around[ok])
-            if sum(map(len, fresh)) > 2_000_000 or len(at) > 300_000:
+            if sum(map(len, fresh)) > 2_000_000 or len(numbers) > 300_000:
                 yield summed()
                 fresh.clear()
+                numbers.clear()
                 names, at = list(contexts), dict(contexts)
         yield summed()
 
@@ -502,50 +557,76 @@ def skip_gram(pairs: DataFrame, index: dict[str, int], seed: int = 11) -> np.nda
     return v
 
 
-def vector(context: np.ndarray, n: np.ndarray, v: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """The skip-gram vector of one word against the contexts' vectors: the best one, by Newton's method.
+def solved(context: np.ndarray, n: np.ndarray, starts: np.ndarray, v: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The skip-gram vector of each word against the contexts' vectors: the best one, by Newton's method.
 
-    Against the vectors as contexts it is that of a centre, against those as centres that of a context.
-    ``noise`` are drawn contexts that stand for the negative samples.
+    The k-th word has the contexts and counts from ``starts[k]`` to ``starts[k + 1]``. Against the vectors as contexts
+    it is that of a centre, against those as centres that of a context. ``noise`` are drawn contexts that stand for the
+    negative samples. Words of about as many contexts are solved side by side.
     """
-    u = np.zeros(v.shape[1])
-    good, bad = v[context].astype(np.float64), v[noise].astype(np.float64)
-    each = NEGATIVE * n.sum() / len(noise)
-    for _ in range(8):
-        p, q = 1 / (1 + np.exp(-np.clip(good @ u, -30, 30))), 1 / (1 + np.exp(-np.clip(bad @ u, -30, 30)))
-        slope = (n * (1 - p)) @ good - each * (q @ bad) - u
-        curve = (good.T * (n * p * (1 - p))) @ good + (bad.T * (each * q * (1 - q))) @ bad + np.eye(len(u))
-        step = np.linalg.solve(curve, slope)
-        step *= min(1.0, 4.0 / max(float(np.abs(step).max()), 1e-9))
-        u += step
-        if np.abs(step).max() < 1e-3:
-            break
-    return u
+    once, times = np.unique(noise, return_counts=True)
+    bad, d, size = v[once].astype(np.float64), v.shape[1], np.diff(starts)
+    a, b = np.triu_indices(d)
+    products = bad[:, a] * bad[:, b]
+    mirror = np.zeros((d, d), np.int64)
+    mirror[a, b] = mirror[b, a] = np.arange(len(a))
+    out = np.zeros((len(size), d))
+    order = np.argsort(size, kind="stable") if len(n) else ()
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and to - at < 64 and (to - at + 1) * size[order[to]] <= MOST_SOLVED:
+            to += 1
+        own, at = order[at:to], to
+        place = np.arange(max(int(size[own].max()), 1))
+        there = place < size[own][:, None]
+        flat = np.where(there, starts[own][:, None] + place, 0)
+        count = np.where(there, n[flat], 0.0)
+        good = v[np.where(there, context[flat], 0)].astype(np.float64)
+        each = NEGATIVE * count.sum(axis=1, keepdims=True) / len(noise) * times
+        u = np.zeros((len(own), d))
+        for _ in range(8):
+            p = 1 / (1 + np.exp(-np.clip((good @ u[:, :, None])[:, :, 0], -30, 30)))
+            q = 1 / (1 + np.exp(-np.clip(u @ bad.T, -30, 30)))
+            slope = ((count * (1 - p))[:, None, :] @ good)[:, 0] - (each * q) @ bad - u
+            curve = (good * (count * p * (1 - p))[:, :, None]).transpose(0, 2, 1) @ good + ((each * q * (1 - q)) @ products)[:, mirror] + np.eye(d)
+            step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+            step *= np.minimum(1.0, 4.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-9))
+            u += step
+            out[own] = u
+            if not (far := np.abs(step).max(axis=1) >= 1e-3).any():
+                break
+            if not far.all():
+                own, u, good, count, each = own[far], u[far], good[far], count[far], each[far]
+    return out
 
 
-def vectors(pairs: DataFrame, v: np.ndarray, targets: DataFrame) -> DataFrame:
-    """(w, vector) of every target that has contexts; a task holds one word's contexts at a time."""
-    spark = pairs.sparkSession
+def drawn(pairs: DataFrame, k: int) -> np.ndarray:
+    """Contexts that stand for the negative samples."""
     often = {r.context: r.n for r in pairs.groupBy("context").agg(F.sum("n").alias("n")).collect()}  # one row a context
-    weight = np.cumsum(np.array([often.get(k, 0) for k in range(len(v))], np.float64) ** 0.75)
-    drawn = np.searchsorted(weight, (np.arange(256) + 0.5) / 256 * weight[-1])
-    shared = spark.sparkContext.broadcast((v, np.minimum(drawn, len(v) - 1)))
+    weight = np.cumsum(np.array([often.get(c, 0) for c in range(k)], np.float64) ** 0.75)
+    return np.minimum(np.searchsorted(weight, (np.arange(256) + 0.5) / 256 * weight[-1]), k - 1)
+
+
+def vectors(pairs: DataFrame, v: np.ndarray, noise: np.ndarray, targets: DataFrame) -> DataFrame:
+    """(w, vector) of every target that has contexts; a task holds the contexts of some words at a time."""
+    shared = pairs.sparkSession.sparkContext.broadcast((v, noise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, noise = shared.value
         for b in batches:
-            own = [vector(np.array([c["context"] for c in cs]), np.array([c["n"] for c in cs], np.float64), v, noise).astype(np.float32).tobytes() for cs in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["w", "vector"])
+            each, starts = b.column(1).flatten(), b.column(1).offsets.to_numpy().astype(np.int64)
+            own = solved(each.field("context").to_numpy(), each.field("n").to_numpy().astype(np.float64), starts - starts[0], *shared.value).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in own], pa.binary())], names=["w", "vector"])
 
     each = pairs.join(targets, F.col("word") == F.col("w"), "left_semi").groupBy(F.col("word").alias("w")).agg(F.collect_list(F.struct("context", "n")).alias("cs"))
     return each.mapInArrow(run, "w string, vector binary")
 
 
-def centres(pairs: DataFrame, index: dict[str, int], v: np.ndarray) -> np.ndarray:
+def centres(pairs: DataFrame, index: dict[str, int], v: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """The vectors of the context words as centres, each the best one against the contexts' vectors."""
     names = pairs.sparkSession.createDataFrame(pa.table({"w": pa.array(list(index), pa.string())}))
     u = np.zeros_like(v)
-    for r in vectors(pairs, v, names).collect():
+    for r in vectors(pairs, v, noise, names).collect():
         u[index[r.w]] = np.frombuffer(r.vector, np.float32)
     return u
 
@@ -617,8 +698,8 @@ def places(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     beside = met.select("place", F.explode("far").alias("w"))
     others = beside.select("w").distinct()
     pairs = cut(co_occurrences(texts, index, words_of(targets.unionByName(others), "w")))
-    v = skip_gram(pairs, index)
-    known = linked.select("word", F.explode("links").alias("x")).select("word", "x.w", "x.n").join(vectors(pairs, v, targets), "w", "left")
+    v, noise = skip_gram(pairs, index), drawn(pairs, len(index))
+    known = linked.select("word", F.explode("links").alias("x")).select("word", "x.w", "x.n").join(vectors(pairs, v, noise, targets), "w", "left")
     known = known.groupBy("word").agg(F.collect_list(F.struct("w", "n", "vector")).alias("known"))
     around = spark.sparkContext.broadcast(v)
 
@@ -627,7 +708,7 @@ def places(results: DataFrame) -> tuple[DataFrame, DataFrame]:
             new = [best(*x, around.value) for x in zip(*(c.to_pylist() for c in b.columns[3:]), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new, pa.string())], names=["res_id", "number", "word", "new"])
 
-    far = beside.join(vectors(pairs, centres(pairs, index, v), others), "w").groupBy("place").agg(F.collect_list("vector").alias("far"))
+    far = beside.join(vectors(pairs, centres(pairs, index, v, noise), noise, others), "w").groupBy("place").agg(F.collect_list("vector").alias("far"))
     full = met.drop("far").join(far, "place", "left").join(known, "word")
     fixes = full.select("res_id", "number", "word", "near", "far", "known").mapInArrow(choose, "res_id bigint, number int, word string, new string").where("new is not null")
     return flaws, fixes

@@ -186,6 +186,31 @@ def test_words_that_are_no_contexts_count(spark, monkeypatch):
     assert got.keys() == {50, 51, 52} and (got[50], got[51]) == ("누가리", "누거리")
 
 
+def test_words_are_counted_in_one_scan(spark):
+    """One scan gives all counts, whatever blanks part the words; only space, tab, line feeds and form feeds do."""
+    rows = [(1, "\ta b c d\n  x\u00a0y z  (q) w\ne\x0bf\x0cg \r h\n\n\n"), (2, "| k | l-\nm |\nk|n-\no “p”"), (3, "a b c\x1fd e\nf"), (4, None), (5, "")]
+    got = scan_noise.vocabulary(spark.createDataFrame(rows, "res_id bigint, markdown string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    inside = {"a": 1, "b": 2, "c": 1, "z": 1, "q": 1, "f": 1, "g": 1, "k": 1, "c\x1fd": 1}
+    edges = ["d", "x\u00a0y", "w", "e", "h", "l-", "m", "k|n-", "o", "p", "x", "y", "lm", "no"]
+    assert {r.word: r.n for r in got.collect()} == dict.fromkeys(edges, 0) | inside
+
+
+def test_vectors_are_solved_side_by_side():
+    """Words of one and of many contexts together get the vectors that they get alone: the best ones."""
+    rng = np.random.default_rng(4)
+    v, noise = rng.normal(size=(300, 8)).astype(np.float32), rng.integers(0, 40, 256)
+    size = [1, 280, 3, 0, 17, *rng.integers(1, 30, 100)]
+    starts = np.concatenate([[0], np.cumsum(size)])
+    context, n = np.concatenate([rng.choice(300, k, replace=False) for k in size]), rng.integers(1, 9, starts[-1]).astype(float)
+    got = scan_noise.solved(context, n, starts, v, noise)
+    for k, u in enumerate(got):
+        c, m = context[starts[k] : starts[k + 1]], n[starts[k] : starts[k + 1]]
+        assert np.allclose(u, scan_noise.solved(c, m, np.array([0, len(c)]), v, noise)[0])
+        slope = (m / (1 + np.exp(v[c] @ u))) @ v[c] - scan_noise.NEGATIVE * m.sum() / 256 * (1 / (1 + np.exp(-(v[noise] @ u)))) @ v[noise] - u
+        assert np.abs(slope).max() < 0.01 * max(1, m.sum())
+
+
 def test_filter_misses_no_word(spark):
     words = ["가나다", "abc", "", "a" * 300, "“”", "𝒳"]
     got = scan_noise.words_of(spark.createDataFrame([(w,) for w in words], "word string"))
