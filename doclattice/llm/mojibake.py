@@ -49,9 +49,11 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
 
 # Characters of ordinary text here: ASCII, Hangul, width forms, punctuation, spaces, list signs, boxes.
 _USUAL = "\t\n\r\x20-\x7e\xa0\xad\xb2\xb3\xb7\xb9가-힣ᄀ-ᇿㄱ-ㆎ！-～ ᠎ -‧ -※ -⁰⁴-⁹←-↙①-⓿─-◿　-〟㈀-㋿￠-￦﻿"
+_TO_BLANK = {ord("\t"): " ", ord("\r"): " "}
 # Only plain blanks part words: a no-break space can be a byte of a garbled character.
 _ODD_WORD = re.compile(f"[^ \t\n\r]*(?:[^{_USUAL}]|[a-z][가-힣]+[a-z])[^ \t\n\r]*")
 _ODD = re.compile(f"[^{_USUAL}]|[a-z][가-힣]+[a-z]")
+_UNUSUAL = re.compile(f"[^{_USUAL}]")
 _LOST = re.compile("[�\x80-\x9f-]")
 
 
@@ -230,24 +232,35 @@ def _weighed(texts: list[str], n: np.ndarray, out: np.ndarray) -> None:
         out += np.bincount(bigrams(" " + " ".join(texts) + " ")[: sizes.sum()], np.repeat(n, sizes), BUCKETS)
 
 
-def garbled_words(words: list[str], chain: tuple[tuple[str, str], ...]) -> list[str]:
-    """Each word garbled; all at once where the ends of lines between them outlast the chain."""
-    end = garble("\n", chain)
-    out = garble("\n".join(words), chain).split(end)
+def garbled_words(words: list[str], chain: tuple[tuple[str, str], ...] | None) -> list[str]:
+    """Each word garbled, or disguised without a chain; all at once where the ends of lines between them outlast the chain."""
+    if not words:
+        return []
+    bad = (lambda x: garble(x, chain)) if chain else (lambda x: x.translate(_DISGUISE))
+    out = bad("\n".join(words)).split(bad("\n"))
     if len(out) != len(words):
-        return [garble(w, chain) for w in words]
+        return [*map(bad, words)]
     return out
 
 
+_ASCII = "".join(map(chr, range(0x80)))
+#: Whether a chain leaves plain characters as they are.
+_KEEPS_ASCII = {chain: garble(_ASCII, chain) == _ASCII for chain in CHAINS}
+
+
 def counted(words: list[str], n: Iterable[int]) -> np.ndarray:
     """Bigram counts of words that each occur ``n`` times: as garbled by each chain, and at last disguised.
 
     As in a line, a garbled word counts only if unusual characters are in it.
     """
     out = np.zeros((len(CHAINS) + 1, BUCKETS))
-    times = np.asarray(n, np.float64)
+    every = np.asarray(n, np.float64)
+    # plain words, which most chains leave as they are, have no unusual characters then either
+    some = [j for j, w in enumerate(words) if not w.isascii() or _ODD.search(w)]
+    fewer, of_fewer = [words[j] for j in some], every[some]
     for k, chain in enumerate((*CHAINS, None)):
-        texts = [w.translate(_DISGUISE) for w in words] if chain is None else garbled_words(words, chain)
+        own, times = (fewer, of_fewer) if _KEEPS_ASCII.get(chain) else (words, every)
+        texts = garbled_words(own, chain)
         odd = [j for j, t in enumerate(texts) if _ODD.search(t)]
         _weighed([texts[j] for j in odd], times[odd], out[k])
     return out
@@ -294,17 +307,44 @@ def clean_sample(results: DataFrame, n: int) -> list[str]:
     return [r.markdown for r in clean.orderBy("h").limit(n).collect()]
 
 
-def clean(results: DataFrame) -> DataFrame:
-    """All texts without unusual characters."""
-    return results.where(F.col("markdown").rlike(f"^[{_USUAL}]+$")).select("markdown")
+def clean(texts: pa.Array) -> list[str]:
+    """The texts without unusual characters."""
+    return [t for t in texts.to_pylist() if t and not _UNUSUAL.search(t)]
+
+
+def words_of(results: DataFrame) -> DataFrame:
+    """(w, n, lines, plain): how often each word stands in the lines of all clean texts, and in the rows of the empty word how many lines there are, and plain ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+        n_lines = n_plain = 0
+
+        def summed() -> pa.RecordBatch:
+            words[""] = 0
+            own = [*words]
+            ends = [np.zeros(len(own), np.int64) for _ in range(2)]
+            ends[0][own.index("")], ends[1][own.index("")] = n_lines, n_plain
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([*words.values()], pa.int64()), *map(pa.array, ends)], names=["w", "n", "lines", "plain"])
+
+        for b in batches:
+            for t in clean(b.column(0)):
+                lines = [x for x in t.translate(_TO_BLANK).split("\n") if len(x) > 3] if "\t" in t or "\r" in t else [x for x in t.split("\n") if len(x) > 3]
+                n_lines += len(lines)
+                n_plain += sum(map(str.isascii, lines))
+                words.update(" ".join(lines).split(" "))
+            if len(words) > 400_000:
+                yield summed()
+                words.clear()
+                n_lines = n_plain = 0
+        yield summed()
+
+    each = results.where("markdown is not null").select("markdown").mapInArrow(run, "w string, n bigint, lines bigint, plain bigint")
+    return each.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", "lines", "plain")))
 
 
 def learn(results: DataFrame) -> Model:
-    """Trains on all clean texts: words are counted in the JVM, each distinct one is garbled once; sums of a fixed number of counts reach the driver."""
-    lines = clean(results).select(F.explode(F.split("markdown", "\n")).alias("x")).where(F.length("x") > 3)
-    words = lines.select((~F.col("x").rlike(r"[^\x00-\x7f]")).cast("bigint").alias("plain"), F.posexplode(F.split("x", r"[ \t\r]+")).alias("k", "w"))
-    first = (F.col("k") == 0).cast("bigint")
-    each = words.groupBy("w").agg(F.count("*").alias("n"), F.sum(first).alias("lines"), F.sum(first * F.col("plain")).alias("plain"))
+    """Trains on all clean texts: words are counted in partitions, each distinct one is garbled once; sums of a fixed number of counts reach the driver."""
+    each = words_of(results)
     # places of the sums: bigram counts, then all lines, plain lines, and characters by their codes
     size = (len(CHAINS) + 1) * BUCKETS
 

@@ -322,7 +322,7 @@ def common_words(results: DataFrame) -> tuple[list[str], str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = Counter(w for t in b.column(0).to_pylist() for s in sentences(t) for w in s.split())
+            raw = Counter(w for t in mojibake.clean(b.column(0)) for s in sentences(t) for w in s.split())
             words: Counter[str] = Counter()
             syllables: Counter[str] = Counter()
             for w, n in raw.items():
@@ -336,7 +336,7 @@ def common_words(results: DataFrame) -> tuple[list[str], str]:
             if both:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*both, strict=True)], names=["kind", "x", "n"])
 
-    counts = mojibake.clean(results).mapInArrow(run, "kind string, x string, n bigint").groupBy("kind", "x").agg(F.sum("n").alias("n"))
+    counts = results.where("markdown is not null").select("markdown").mapInArrow(run, "kind string, x string, n bigint").groupBy("kind", "x").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "x"))
     top = counts.withColumn("place", place).where(F.col("place") <= F.when(F.col("kind") == "word", COMMON_WORDS).otherwise(COMMON_SYLLABLES)).collect()
     words = sorted(r.x for r in top if r.kind == "word" and len(r.x) > 1 and not r.x[0].isdigit())

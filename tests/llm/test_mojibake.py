@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from doclattice.llm import mojibake as m
@@ -76,3 +77,27 @@ def test_words_are_garbled_as_alone():
     words = ["예산", "담당자는", "a가b", "cafe", "“끝”", "㈜한국", "x" * 300, "éa"]
     for chain in m.CHAINS:
         assert m.garbled_words(words, chain) == [m.garble(w, chain) for w in words], chain
+
+
+def test_words_of_clean_lines(spark):
+    """Words stand at blanks, tabs and returns of lines of more than three characters; texts with unusual characters, null and empty ones don't count."""
+    rows = [(1, "\tab cd　ef\n  x\ty  ab\n\nabc\n가나 다|\r\n"), (2, "é ab cd\n"), (3, None), (4, ""), (5, "\n\n"), (6, "plain ab")]
+    got = m.words_of(spark.createDataFrame(rows, "res_id bigint, markdown string"))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # lines are no rows
+    rows = got.collect()
+    assert {r.w: r.n for r in rows if r.w} == {"ab": 3, "cd　ef": 1, "x": 1, "y": 1, "가나": 1, "다|": 1, "plain": 1}
+    assert (sum(r.lines for r in rows), sum(r.plain for r in rows)) == (4, 2)
+
+
+def test_plain_words_are_garbled_where_a_chain_changes_them():
+    """Counts of plain and other words together are those of each word garbled alone by each chain."""
+    words, n = ["plain", "a", "", "1,2\\~", "가나다", "a가b", "x\x7fy", "“가”"], [3, 1, 2, 5, 4, 6, 7, 2]
+    got = m.counted(words, n)
+    for k, chain in enumerate((*m.CHAINS, None)):
+        want = np.zeros(m.BUCKETS)
+        for w, times in zip(words, n, strict=True):
+            bad = m.garble(w, chain) if chain else w.translate(m._DISGUISE)
+            if m._ODD.search(bad):
+                want += times * np.bincount(m.bigrams(f" {bad} ")[: len(bad.encode("utf-8", "replace")) + 1], minlength=m.BUCKETS)
+        assert np.array_equal(got[k], want), chain
+    assert any(not kept for kept in m._KEEPS_ASCII.values()) and sum(m._KEEPS_ASCII.values()) > 20
